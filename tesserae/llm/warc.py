@@ -72,9 +72,7 @@ def iter_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         while not member.eof:
             if not rest and not (rest := stream.read(BLOCK)):
                 raise ValueError("the archive ends inside a record")
-            data += member.decompress(rest, BLOCK)
-            while member.unconsumed_tail:
-                data += member.decompress(member.unconsumed_tail, BLOCK)
+            data += member.decompress(rest)
             rest = member.unused_data if member.eof else b""
             if need is None and (at := data.find(b"\r\n\r\n")) >= 0:
                 lines = bytes(data[:at]).decode("utf-8", "surrogatepass").split("\r\n")
