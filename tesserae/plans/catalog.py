@@ -1,21 +1,4 @@
 """All queries of the library outside the optional subpackage, with their SQL."""
 
-from __future__ import annotations
-
-from pyspark.sql import functions as F
-
-from tesserae.runtime import table
-
-
-def content_synonyms(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("content_hash"))
-    first = docs.groupBy("content_hash").agg(F.min("doc_id").alias("canonical_id"))
-    return docs.join(first, "content_hash").select("doc_id", "canonical_id", (F.col("doc_id") == F.col("canonical_id")).alias("is_new"))
-
-
-QUERIES = {"content_synonyms": content_synonyms}
-ORACLES = {
-    "content_synonyms": """
-    SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS canonical_id,
-           doc_id = min(doc_id) OVER (PARTITION BY md5(text)) AS is_new FROM documents""",
-}
+from tesserae.plans import graph_plans, measure_plans, relational_plans, store_plans, streaming_plans  # noqa: F401
+from tesserae.plans.registry import ORACLES, QUERIES  # noqa: F401
