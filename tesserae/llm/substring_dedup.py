@@ -24,7 +24,7 @@ from tesserae.runtime import cut, tune
 
 #: A boundary needs BITS zero bits: chunks of about MIN_BYTES + 2 ** BITS bytes.
 BITS, MIN_BYTES, MAX_BYTES = 5, 24, 1024
-MIN_WORDS = 30
+MIN_WORDS = 20
 LAST = 2**63 - 1
 CHUNK = "doc_id long, seq int, start int, length int, words int, d1 long, d2 long, again boolean"
 
