@@ -58,12 +58,15 @@ def find_hits(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFram
     found = []
     for k in sorted(sizes):
         side = windows.filter(F.least("n", F.lit(ANCHOR)) == k).select("n", "body", "items", F.xxhash64(*[F.col("g")[i] for i in range(k)]).alias("a"))
-        if total <= BROADCAST_WINDOWS:
-            side = F.broadcast(side)
         scan = docs.select("__key", "__w", F.posexplode("__w").alias("pos", "word"))
         anchor = F.xxhash64("word", *[F.get("__w", F.col("pos") + i) for i in range(1, k)])
-        scan = scan.withColumn("__a", anchor)
-        whole = F.array_join(F.slice("__w", F.col("pos") + 1, F.col("n")), " ") == F.col("body")
+        if total <= BROADCAST_WINDOWS:
+            side = F.broadcast(side)
+            scan = scan.withColumn("__a", anchor)
+            whole = F.array_join(F.slice("__w", F.col("pos") + 1, F.col("n")), " ") == F.col("body")
+        else:  # rows move: each carries its own window, not its text
+            scan = scan.select("__key", "pos", anchor.alias("__a"), F.slice("__w", F.col("pos") + 1, F.lit(width)).alias("__g"))
+            whole = F.array_join(F.slice("__g", F.lit(1), F.col("n")), " ") == F.col("body")
         found.append(scan.join(side, (scan["__a"] == side["a"]) & whole).select("__key", "pos", "n", "items"))
     if not found:
         return docs.select("__key", F.lit(0).alias("pos"), F.lit(0).alias("n"), F.array(F.lit("")).alias("items")).limit(0)

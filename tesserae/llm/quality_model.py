@@ -205,6 +205,7 @@ def labelled_sample(labels: DataFrame, label: str, rows: int) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[np.ndarray, Network]:
     """docs: doc_id, text; labels: doc_id and the label, only those to learn from."""
     tune(docs.sparkSession)
+    docs = docs.select("doc_id", "text")  # other columns may clash
     vectors = word_vectors(docs)
     sample = docs.join(F.broadcast(labelled_sample(labels, label, TRAIN_ROWS)), "doc_id").select("text", F.col("y").cast("long"))
 
