@@ -133,3 +133,24 @@ def test_sources(spark, tmp_path):
     (tmp_path / "j.json").write_text('{"i": 1}\nbroken\n')
     assert files.read_json_lines(spark, str(tmp_path / "j.json"), "i int").count() == 2
     files.write_nowhere(df)
+
+
+@pytest.mark.parametrize("code,still", [("df.head()", True), ("len(df[df.a > 1])", True), ("df.drop('a', inplace=True)", False), ("df['a'] = 1", False), ("x = 1", False), ("df.append(1)", False), ("f(x)", False), ("a +", False), ("", True), ("df.fillna(**k)", False), ("x if y else -z", True), ("[i for i in x]", False)])
+def test_static_check(code, still):
+    from tesserae.operators.static_check import changes_nothing
+
+    assert changes_nothing(code) == still
+
+
+def test_generator_feeds_the_store(spark, tmp_path):
+    from tesserae.sources.generators import mutating_lists
+
+    lists = mutating_lists(spark, 3, 4, 10, 0.5, 0.5).cache()
+    assert lists.count() == 3 * 4 * 10
+    store = VersionStore(spark, str(tmp_path / "g"))
+    for v in (1, 2, 3):
+        store.save({"lists": (lists.filter(F.col("version") == v).select("name", "idx", "value").withColumn("k", F.substring("name", 3, 9).cast("long")), "k")})
+    new = [r["n_new"] for r in store.read("commits").orderBy("tid").collect()]
+    assert new[0] == 4 and all(n <= 4 for n in new) and sum(new) < 12
+    names = mutating_lists(spark, 2, 3, 5, 0.0, 1.0)
+    assert names.filter("version = 1").drop("version").exceptAll(names.filter("version = 2").drop("version")).count() == 0
