@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths that this process has written and not yet deleted.
+_written: list[str] = []
 #: Rows of one Arrow batch handed to Python. Texts are long, so batches are short.
 ARROW_ROWS = 500
 
@@ -57,13 +59,27 @@ def cut(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tesserae_path = path  # for discard()
+    _written.append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _written:
+        _written.remove(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``cut`` wrote, once nothing reads it any more."""
-    path = getattr(df, "_tesserae_path", None)
-    if path:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if path := getattr(df, "_tesserae_path", None):
+        _delete(df.sparkSession, path)
+
+
+def purge(spark: SparkSession) -> int:
+    """Delete every table that ``cut`` wrote in this process; call it when all frames that
+    came from operators have been written or read. Returns how many went."""
+    paths = list(_written)
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)

@@ -154,3 +154,14 @@ def test_generator_feeds_the_store(spark, tmp_path):
     assert new[0] == 4 and all(n <= 4 for n in new) and sum(new) < 12
     names = mutating_lists(spark, 2, 3, 5, 0.0, 1.0)
     assert names.filter("version = 1").drop("version").exceptAll(names.filter("version = 2").drop("version")).count() == 0
+
+
+def test_cut_and_purge(spark):
+    from tesserae import runtime
+
+    runtime.purge(spark)
+    kept = runtime.cut(spark.range(5), "kept")
+    gone = runtime.cut(spark.range(3), "gone")
+    assert kept.count() == 5 and gone.count() == 3
+    runtime.discard(gone)
+    assert runtime.purge(spark) == 1 and runtime.purge(spark) == 0
