@@ -16,6 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesserae.operators import graph
+from tesserae.operators.namespace import Namespace
+
+#: The name under which ``dump`` stores; versions after it do not carry it on.
+OBJECT = "__object__"
 SCHEMAS = {
     "commits": "n_names long, n_new long, new_bytes long",
     "namemap": "name string, piece_tid long, piece_id long",
@@ -32,11 +37,12 @@ def canonical(df: DataFrame, key: str, name: str) -> DataFrame:
 
 
 class VersionStore:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.lock = spark, path.rstrip("/"), threading.Lock()
+    def __init__(self, spark: SparkSession, path: str, codec: str = "zstd"):
+        self.spark, self.path, self.codec, self.lock = spark, path.rstrip("/"), codec, threading.Lock()
         self.touched: set[str] = set()
         self.tracking = True
         self._running: threading.Thread | None = None
+        self._failed: BaseException | None = None
 
     def read(self, name: str) -> DataFrame:
         schema = T._parse_datatype_string(SCHEMAS[name] + ", tid long")
@@ -46,7 +52,7 @@ class VersionStore:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def _write(self, name: str, tid: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/tid={tid}")
+        df.write.option("compression", self.codec).mode("overwrite").parquet(f"{self.path}/{name}/tid={tid}")
 
     def versions(self) -> DataFrame:
         return self.read("commits").select("tid").orderBy("tid")
@@ -54,8 +60,9 @@ class VersionStore:
     def next_tid(self) -> int:
         return (self.read("commits").agg(F.max("tid")).first()[0] or 0) + 1
 
-    def save(self, tables: dict[str, tuple[DataFrame, str]], edges: DataFrame | None = None) -> int:
-        """Commits ``name -> (rows, key)``; names left out keep their pieces. Returns tid."""
+    def save(self, tables: dict[str, tuple[DataFrame, str]], edges: DataFrame | None = None, keep: set[str] | None = None) -> int:
+        """Commits ``name -> (rows, key)``; names left out keep their pieces, or only those in
+        ``keep``, if it is given. Returns tid."""
         with self.lock:
             tid = self.next_tid()
             parts = [canonical(df, key, name) for name, (df, key) in tables.items()]
@@ -72,7 +79,8 @@ class VersionStore:
                 old = judged.filter(F.col("k").isNotNull() | (F.col("piece_id") != F.col("first_id")))
                 self._write("pieces", tid, fresh.select("piece_id", "content_hash", "size_b", "payload"))
                 self._write("synonyms", tid, old.select("piece_id", F.coalesce("k.syn_tid", F.lit(tid).cast("long")).alias("syn_tid"), F.coalesce("k.syn_id", "first_id").alias("syn_id")))
-                kept = self.read("namemap").filter(F.col("tid") == tid - 1).filter(~F.col("name").isin(list(tables))).select("name", "piece_tid", "piece_id")
+                kept = self.namemap(tid - 1).filter(~F.col("name").isin([OBJECT, *tables]))
+                kept = kept if keep is None else kept.filter(F.col("name").isin(sorted(keep)))
                 self._write("namemap", tid, kept.unionByName(new.select("name", F.lit(tid).cast("long").alias("piece_tid"), "piece_id")))
                 if edges is not None:
                     self._write("edges", tid, edges.select("piece_id", "dep_tid", "dep_id"))
@@ -84,27 +92,87 @@ class VersionStore:
             self.touched.clear()
             return tid
 
-    def save_async(self, tables, edges=None) -> threading.Thread:
+    def save_async(self, tables, edges=None, keep=None) -> threading.Thread:
         """Waits for the save before, then saves in a thread; frames are immutable."""
         self.join()
-        self._running = threading.Thread(target=self.save, args=(tables, edges))
+
+        def run():
+            try:
+                self.save(tables, edges, keep)
+            except BaseException as e:  # noqa: BLE001 - join() raises it
+                self._failed = e
+
+        self._running = threading.Thread(target=run)
         self._running.start()
         return self._running
 
     def join(self) -> None:
+        """Waits for the save that runs; raises what made it fail."""
         if self._running is not None:
             self._running.join()
             self._running = None
+        if self._failed is not None:
+            failed, self._failed = self._failed, None
+            raise failed
+
+    def commit(self, names: Namespace, exclude: set[str] = frozenset(), wait: bool = True) -> int:
+        """A version of a namespace. Names that are active, new or connected to an active
+        one are written, other ones keep their pieces; names that the namespace lacks or
+        that ``exclude`` lists are not in the version. Without ``wait`` the plan is made
+        now and a thread writes. Returns the version."""
+        self.join()
+        tid, here = self.next_tid(), set(names) - set(exclude)
+        before = {r["name"] for r in self.namemap(tid - 1).select("name").distinct().collect()}  # as many as a namespace has
+        write = (names.active & here) | (here - before)
+        if write & before:
+            write |= {r["name"] for r in self.connected_names(tid - 1, write & before).collect()} & here
+        job = names.tables(write), None, here - write
+        names.active -= here
+        if wait:
+            self.save(*job)
+        else:
+            self.save_async(*job)
+        return tid
+
+    def namemap(self, tid: int) -> DataFrame:
+        """name, piece_tid, piece_id of a version."""
+        return self.read("namemap").filter(F.col("tid") == tid).select("name", "piece_tid", "piece_id")
+
+    def connected_names(self, tid: int, active: set[str]) -> DataFrame:
+        """Names of a version with a piece in one component with a piece of an active name."""
+        held = self.namemap(tid).select("name", F.xxhash64("piece_tid", "piece_id").alias("node"))
+        edges = self.read("edges").select(F.xxhash64("tid", "piece_id").alias("src"), F.xxhash64("dep_tid", "dep_id").alias("dst"))
+        ends = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
+        comp = held.join(graph.components(held.select("node").union(ends).distinct(), edges), "node")
+        near = comp.filter(F.col("name").isin(sorted(active))).select("comp").distinct()
+        return comp.join(near, "comp", "left_semi").select("name").distinct()
+
+    def _held(self, wanted: DataFrame) -> DataFrame:
+        """version, name, piece_tid, piece_id -> version, name, piece_id, payload."""
+        syn = self.read("synonyms").withColumnRenamed("tid", "piece_tid")
+        at = wanted.join(syn, ["piece_tid", "piece_id"], "left").select("version", "name", "piece_id", F.coalesce("syn_tid", "piece_tid").alias("tid"), F.coalesce("syn_id", "piece_id").alias("__p"))
+        held = self.read("pieces").select("tid", F.col("piece_id").alias("__p"), "payload")
+        return at.join(held, ["tid", "__p"]).select("version", "name", "piece_id", "payload")
 
     def load(self, tid: int, names: list[str] | None = None) -> DataFrame:
         """name, piece_id, payload of a version; names that it lacks are left out."""
-        wanted = self.read("namemap").filter(F.col("tid") == tid).select("name", "piece_tid", "piece_id")
-        if names is not None:
-            wanted = wanted.filter(F.col("name").isin(names))
-        syn = self.read("synonyms").withColumnRenamed("tid", "piece_tid")
-        at = wanted.join(syn, ["piece_tid", "piece_id"], "left").select("name", "piece_id", F.coalesce("syn_tid", "piece_tid").alias("tid"), F.coalesce("syn_id", "piece_id").alias("__p"))
-        held = self.read("pieces").select("tid", F.col("piece_id").alias("__p"), "payload")
-        return at.join(held, ["tid", "__p"]).select("name", "piece_id", "payload")
+        wanted = self.namemap(tid).withColumn("version", F.lit(tid).cast("long"))
+        return self._held(wanted if names is None else wanted.filter(F.col("name").isin(names))).drop("version")
+
+    def load_many(self, wanted: dict[int, list[str] | None]) -> DataFrame:
+        """version, name, piece_id, payload of several versions in one read; None: all names."""
+        pick = F.lit(False)
+        for tid, names in wanted.items():
+            pick = pick | ((F.col("tid") == tid) & (F.lit(True) if names is None else F.col("name").isin(names)))
+        held = self.read("namemap").filter(F.col("tid").isin(list(wanted)) & pick)
+        return self._held(held.select(F.col("tid").alias("version"), "name", "piece_tid", "piece_id"))
+
+    def dump(self, df: DataFrame, key: str) -> int:
+        """Stores one table as a version of its own beside the names; returns the version."""
+        return self.save({OBJECT: (df, key)})
+
+    def load_dump(self, tid: int, schema: str) -> DataFrame:
+        return self.rows(tid, OBJECT, schema)
 
     def rows(self, tid: int, name: str, schema: str) -> DataFrame:
         """The rows of one name of a version, parsed."""
