@@ -18,7 +18,7 @@ def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -
     Semi-naive: each round extends only pairs that the last one found, so cycles end.
     Null ends are ignored; a seed reaches itself in 0 hops.
     """
-    edges = edges.select("src", "dst").dropna().distinct()
+    edges = cut(edges.select("src", "dst").dropna().distinct(), "closure-edges")
     new = cut(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("hops")).dropna().distinct(), "closure")
     found, rounds = new, 0
     while new.head(1) and (max_rounds is None or rounds < max_rounds):
@@ -59,16 +59,22 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return reach.join(back, ["seed", "node"]).groupBy(F.col("seed").alias("node")).agg(F.min("node").alias("comp"))
 
 
-def rollup(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def rollup(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """nodes (node, size), acyclic edges (src, dst) -> node, total, paths.
 
     A node's total is its own size and the totals of what it depends on; a shared child
-    counts once for each path.
+    counts once for each path. Every round hands sums one edge up, so it moves a row a
+    node and edge, never a row for each pair of a node and what it reaches. Edges that
+    repeat are paths of their own, null ends are ignored; a path of more than
+    ``max_rounds`` edges, as in a cycle, is an error.
     """
-    step = cut(nodes.select(F.col("node").alias("seed"), "node", F.lit(1).cast("bigint").alias("ways")), "rollup")
-    found = step
-    while step.head(1):
-        step = cut(step.join(edges, step["node"] == edges["src"]).groupBy("seed", F.col("dst").alias("node")).agg(F.sum("ways").alias("ways")), "rollup")
+    edges = cut(edges.select("src", "dst").dropna(), "rollup-edges")
+    step = cut(nodes.select("node", F.col("size").alias("total"), F.lit(1).cast("bigint").alias("paths")), "rollup")
+    found, known = step, nodes.select("node").distinct()
+    for _ in range(max_rounds):
+        up = step.join(edges, step["node"] == edges["dst"]).groupBy(F.col("src").alias("node"))
+        step = cut(up.agg(F.sum("total").alias("total"), F.sum("paths").alias("paths")), "rollup")
+        if not step.head(1):
+            return found.groupBy("node").agg(F.sum("total").alias("total"), F.sum("paths").alias("paths")).join(known, "node", "left_semi")
         found = found.unionByName(step)
-    sized = found.join(nodes, "node")
-    return sized.groupBy(F.col("seed").alias("node")).agg(F.sum(F.col("ways") * F.col("size")).alias("total"), F.sum("ways").alias("paths"))
+    raise ValueError(f"a path has more than {max_rounds} edges; is there a cycle?")

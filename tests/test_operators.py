@@ -48,6 +48,9 @@ def test_strong_components_and_rollup(spark):
     sized = spark.createDataFrame([(1, 1), (2, 10), (3, 100), (4, 1000)], "node long, size long")
     up = {r["node"]: (r["total"], r["paths"]) for r in G.rollup(sized, edges(spark, [(1, 2), (1, 3), (2, 4), (3, 4)])).collect()}
     assert up == {1: (2111, 5), 2: (1010, 2), 3: (1100, 2), 4: (1000, 1)}
+    assert G.rollup(sized.filter("false"), edges(spark, [(1, 2), (None, 1)])).count() == 0
+    with pytest.raises(ValueError, match="cycle"):
+        G.rollup(sized, edges(spark, [(1, 2), (2, 1)]), max_rounds=2)
 
 
 @pytest.mark.parametrize("row,bundle,split,action", [((1000, 100, 0.0, 0.0), 1200, 2400, "bundle"), ((1000, 100, 1.0, 1.0), 2300, 3500, "bundle"), ((100000, 100, 0.0, 0.1), 11210, 2410, "split"), ((12000, 0, 0.0, 0.1), 2400, 2400, "bundle")])
