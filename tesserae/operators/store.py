@@ -92,8 +92,9 @@ class VersionStore:
             self.touched.clear()
             return tid
 
-    def save_async(self, tables, edges=None, keep=None) -> threading.Thread:
-        """Waits for the save before, then saves in a thread; frames are immutable."""
+    def save_async(self, tables, edges=None, keep=None, undo=lambda: None) -> threading.Thread:
+        """Waits for the save before, then saves in a thread, which calls ``undo`` if it
+        fails; frames are immutable."""
         self.join()
 
         def run():
@@ -101,6 +102,7 @@ class VersionStore:
                 self.save(tables, edges, keep)
             except BaseException as e:  # noqa: BLE001 - join() raises it
                 self._failed = e
+                undo()
 
         self._running = threading.Thread(target=run)
         self._running.start()
@@ -127,11 +129,12 @@ class VersionStore:
         if write & before:
             write |= {r["name"] for r in self.connected_names(tid - 1, write & before).collect()} & here
         job = names.tables(write), None, here - write
-        names.active -= here
+        done = names.active & here
+        names.active -= done
+        # a save that fails leaves its names active
+        self.save_async(*job, undo=lambda: names.active.update(done))
         if wait:
-            self.save(*job)
-        else:
-            self.save_async(*job)
+            self.join()
         return tid
 
     def namemap(self, tid: int) -> DataFrame:

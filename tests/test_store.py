@@ -68,6 +68,10 @@ def test_failed_async_save_raises_on_join(spark, tmp_path):
     with pytest.raises(Exception, match="no_such_column"):
         store.join()
     store.join()
+    ns = Namespace({"a": (table(spark, (1, "x")), "no_such_column")})
+    with pytest.raises(Exception, match="no_such_column"):
+        store.commit(ns)
+    assert ns.active == {"a"}
     assert store.save({"a": (table(spark, (1, "x")), "k")}) == 1
 
 
