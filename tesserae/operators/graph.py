@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.runtime import cut
+from tesserae.runtime import cut, cut_any
 
 
 def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
@@ -19,12 +19,12 @@ def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -
     Null ends are ignored; a seed reaches itself in 0 hops.
     """
     edges = cut(edges.select("src", "dst").dropna().distinct(), "closure-edges")
-    new = cut(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("hops")).dropna().distinct(), "closure")
+    new, more = cut_any(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("hops")).dropna().distinct(), "closure")
     found, rounds = new, 0
-    while new.head(1) and (max_rounds is None or rounds < max_rounds):
+    while more and (max_rounds is None or rounds < max_rounds):
         rounds += 1
         step = new.join(edges, new["node"] == edges["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        new = cut(step.join(found.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(rounds)), "closure")
+        new, more = cut_any(step.join(found.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(rounds)), "closure")
         found = found.unionByName(new)
     return found
 
@@ -37,26 +37,74 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).dropna().filter("src <> dst").distinct()
     both = cut(both, "component-edges")
-    now = cut(nodes.select("node", F.col("node").alias("comp")).dropna().distinct(), "components")
-    while True:
+    now, more = cut(nodes.select("node", F.col("node").alias("comp")).dropna().distinct(), "components"), True
+    while more:
         label = now.select(F.col("node").alias("dst"), F.col("comp").alias("c"))
         near = both.join(label, "dst").groupBy(F.col("src").alias("node")).agg(F.min("c").alias("c"))
         low = now.join(near, "node", "left").select("node", F.least("comp", F.coalesce("c", "comp")).alias("comp"), F.col("comp").alias("old"))
         low = cut(low, "components")
         jump = low.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
-        after = cut(low.join(jump, "comp", "left").select("node", F.coalesce("further", "comp").alias("comp"), "old"), "components")
-        changed = after.filter("comp <> old").head(1)
+        after = low.join(jump, "comp", "left").select("node", F.coalesce("further", "comp").alias("comp"), "old")
+        after, more = cut_any(after, "components", F.col("comp") != F.col("old"))
         now = after.select("node", "comp")
-        if not changed:
-            return now
+    return now
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """edges (src, dst) -> node, comp: the least node that is reached and reaches back."""
-    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).dropna().distinct()
-    reach = closure(edges, nodes).select("seed", "node")
-    back = reach.select(F.col("node").alias("seed"), F.col("seed").alias("node"))
-    return reach.join(back, ["seed", "node"]).groupBy(F.col("seed").alias("node")).agg(F.min("node").alias("comp"))
+    """edges (src, dst) -> node, comp: the least node that is reached and reaches back.
+
+    By colours: each node takes the least rank that reaches it, and what reaches the
+    owner of its colour inside the colour is that owner's component; the rest of each
+    colour goes on, without edges between colours. Ranks are hashes, so that a long
+    chain falls into many colours at once. A round moves a row a node and edge, never a
+    row for each pair of nodes. Null ends are ignored.
+    """
+    live, more = cut_any(edges.select("src", "dst").dropna().distinct(), "strong-edges", F.col("src") != F.col("dst"))
+    nodes = live.select(F.col("src").alias("node")).unionByName(live.select(F.col("dst").alias("node"))).distinct()
+    live, found = live.filter("src <> dst"), nodes.select("node", F.col("node").alias("owner"))
+    while more:
+        # what nothing points to, or what points to nothing, is a component of its own
+        live = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        live, more = cut_any(live.select("src", "dst"), "strong-edges")
+        if more:
+            owned = _owners(live)
+            owner = lambda end: owned.select(F.col("node").alias(end), F.col("owner").alias(f"{end}_owner"))  # noqa: E731, B023
+            live = cut(live.join(owner("src"), "src").join(owner("dst"), "dst").filter("src_owner = dst_owner").select("src", "dst", F.col("src_owner").alias("owner")), "strong-edges")
+            core = _reaching(live, owned.filter("node = owner"))
+            found = found.unionByName(core)
+            gone = core.select("node")
+            live, more = cut_any(live.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "strong-edges")
+    # a node of a larger component has two rows: itself, and its owner if that is another
+    owner = found.groupBy("node").agg(F.max_by("owner", F.col("owner") != F.col("node")).alias("owner"))
+    least = owner.groupBy("owner").agg(F.min("node").alias("comp"))
+    return owner.join(least, "owner").select("node", "comp")
+
+
+def _owners(edges: DataFrame) -> DataFrame:
+    """edges (src, dst) -> node, owner: the node of least rank that reaches it."""
+    rank = F.struct(F.xxhash64("node").alias("hash"), "node")
+    now = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct().select("node", rank.alias("rank"))
+    now, more = cut(now, "strong-ranks"), True
+    while more:
+        old = F.col("rank").alias("old")
+        now = now.select("node", "rank", old)
+        for _ in range(2):  # two edges a round: half the tables
+            near = edges.join(now.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("rank").alias("near"))
+            now = now.join(near, "node", "left").select("node", F.least("rank", F.coalesce("near", "rank")).alias("rank"), "old")
+        now, more = cut_any(now, "strong-ranks", F.col("rank") != F.col("old"))
+    return now.select("node", F.col("rank.node").alias("owner"))
+
+
+def _reaching(edges: DataFrame, owners: DataFrame) -> DataFrame:
+    """edges (src, dst, owner) inside colours, owners (node, owner) -> node, owner of all
+    that reaches its owner."""
+    new, more = cut(owners.select("node", "owner"), "strong-core"), True
+    found = new
+    while more:
+        step = edges.join(new.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "owner").distinct()
+        new, more = cut_any(step.join(found.select("node"), "node", "left_anti"), "strong-core")
+        found = found.unionByName(new)
+    return found
 
 
 def rollup(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
@@ -69,12 +117,13 @@ def rollup(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFr
     ``max_rounds`` edges, as in a cycle, is an error.
     """
     edges = cut(edges.select("src", "dst").dropna(), "rollup-edges")
-    step = cut(nodes.select("node", F.col("size").alias("total"), F.lit(1).cast("bigint").alias("paths")), "rollup")
+    step, more = cut_any(nodes.select("node", F.col("size").alias("total"), F.lit(1).cast("bigint").alias("paths")), "rollup")
     found, known = step, nodes.select("node").distinct()
     for _ in range(max_rounds):
-        up = step.join(edges, step["node"] == edges["dst"]).groupBy(F.col("src").alias("node"))
-        step = cut(up.agg(F.sum("total").alias("total"), F.sum("paths").alias("paths")), "rollup")
-        if not step.head(1):
+        if more:
+            up = step.join(edges, step["node"] == edges["dst"]).groupBy(F.col("src").alias("node"))
+            step, more = cut_any(up.agg(F.sum("total").alias("total"), F.sum("paths").alias("paths")), "rollup")
+        if not more:
             return found.groupBy("node").agg(F.sum("total").alias("total"), F.sum("paths").alias("paths")).join(known, "node", "left_semi")
         found = found.unionByName(step)
     raise ValueError(f"a path has more than {max_rounds} edges; is there a cycle?")

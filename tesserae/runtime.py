@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Paths that this process has written and not yet deleted.
 _written: list[str] = []
@@ -63,6 +64,16 @@ def cut(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def cut_any(df: DataFrame, label: str, which: Column | None = None) -> tuple[DataFrame, bool]:
+    """As ``cut``, and whether any row was written (any for which ``which`` is true): seen
+    while writing, so rounds need no second job to know if they are the last. A repeated
+    task may count its rows twice, but never makes none into some."""
+    seen = Observation()
+    one = F.lit(1) if which is None else F.when(which, 1)
+    out = cut(df.observe(seen, F.count(one).alias("n")), label)
+    return out, bool(seen.get.get("n"))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -45,6 +45,7 @@ def test_components_of_a_long_chain(spark):
 def test_strong_components_and_rollup(spark):
     got = dict(G.strong_components(edges(spark, [(1, 2), (2, 3), (3, 1), (3, 4), (5, 5)])).collect())
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    assert G.strong_components(edges(spark, [])).count() == 0
     sized = spark.createDataFrame([(1, 1), (2, 10), (3, 100), (4, 1000)], "node long, size long")
     up = {r["node"]: (r["total"], r["paths"]) for r in G.rollup(sized, edges(spark, [(1, 2), (1, 3), (2, 4), (3, 4)])).collect()}
     assert up == {1: (2111, 5), 2: (1010, 2), 3: (1100, 2), 4: (1000, 1)}
@@ -53,6 +54,19 @@ def test_strong_components_and_rollup(spark):
         G.rollup(sized, edges(spark, [(1, 2), (2, 1)]), max_rounds=2)
 
 
+def test_strong_components_equal_mutual_reach(spark):
+    # cycles joined by one-way edges, a chain, a cycle inside a larger one, repeats, nulls
+    rows = [(1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 3), (5, 6), (6, 7), (7, 8), (8, 6), (8, 7), (8, 9), (9, 10), (10, 11), (12, 1), (20, 21), (21, 20), (20, 21), (None, 1), (3, None), (9, 9)]
+    reach = {a: {a} for r in rows if None not in r for a in r}
+    for _ in reach:
+        for a, b in rows:
+            for seen in reach.values():
+                if a in seen and b is not None:
+                    seen.add(b)
+    want = {a: min(b for b in reach[a] if a in reach[b]) for a in reach}
+    assert dict(G.strong_components(edges(spark, rows)).collect()) == want
+
+
 @pytest.mark.parametrize("row,bundle,split,action", [((1000, 100, 0.0, 0.0), 1200, 2400, "bundle"), ((1000, 100, 1.0, 1.0), 2300, 3500, "bundle"), ((100000, 100, 0.0, 0.1), 11210, 2410, "split"), ((12000, 0, 0.0, 0.1), 2400, 2400, "bundle")])
 def test_greedy_costs(spark, row, bundle, split, action):
     args = [F.lit(float(x)) for x in row]
@@ -163,6 +177,10 @@ def test_cut_and_purge(spark):
     from tesserae import runtime
 
     runtime.purge(spark)
+    for df, which, want in ((spark.range(0), None, False), (spark.range(5), None, True), (spark.range(5), F.col("id") > 9, False), (spark.range(5).filter("id > 9").distinct(), None, False)):
+        out, some = runtime.cut_any(df, "any", which)
+        assert some is want and out.count() == df.count()
+        runtime.discard(out)
     kept = runtime.cut(spark.range(5), "kept")
     gone = runtime.cut(spark.range(3), "gone")
     assert kept.count() == 5 and gone.count() == 3
