@@ -67,10 +67,13 @@ def strong_components(edges: DataFrame) -> DataFrame:
         live = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
         live, more = cut_any(live.select("src", "dst"), "strong-edges")
         if more:
-            owned = _owners(live)
+            ends = live.select(F.col("src").alias("node")).unionByName(live.select(F.col("dst").alias("node"))).distinct()
+            owned = _spread(live, ends.select("node", F.struct(F.xxhash64("node").alias("hash"), "node").alias("mark"))).select("node", F.col("mark.node").alias("owner"))
             owner = lambda end: owned.select(F.col("node").alias(end), F.col("owner").alias(f"{end}_owner"))  # noqa: E731, B023
-            live = cut(live.join(owner("src"), "src").join(owner("dst"), "dst").filter("src_owner = dst_owner").select("src", "dst", F.col("src_owner").alias("owner")), "strong-edges")
-            core = _reaching(live, owned.filter("node = owner"))
+            live = cut(live.join(owner("src"), "src").join(owner("dst"), "dst").filter("src_owner = dst_owner").select("src", "dst"), "strong-edges")
+            # edges stay inside colours, so what reaches an owner reaches its own
+            reached = _spread(live.select(F.col("dst").alias("src"), F.col("src").alias("dst")), owned.select("node", F.when(F.col("node") == F.col("owner"), 1).alias("mark")))
+            core = owned.join(reached.filter("mark = 1"), "node", "left_semi").select("node", "owner")
             found = found.unionByName(core)
             gone = core.select("node")
             live, more = cut_any(live.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "strong-edges")
@@ -80,31 +83,18 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return owner.join(least, "owner").select("node", "comp")
 
 
-def _owners(edges: DataFrame) -> DataFrame:
-    """edges (src, dst) -> node, owner: the node of least rank that reaches it."""
-    rank = F.struct(F.xxhash64("node").alias("hash"), "node")
-    now = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct().select("node", rank.alias("rank"))
-    now, more = cut(now, "strong-ranks"), True
+def _spread(edges: DataFrame, marks: DataFrame, steps: int = 2) -> DataFrame:
+    """edges (src, dst), marks (node, mark or null) -> node, mark: the least of all that
+    reach the node. A round goes ``steps`` edges far, for fewer tables."""
+    now, more = cut(marks, "spread"), True
     while more:
-        old = F.col("rank").alias("old")
-        now = now.select("node", "rank", old)
-        for _ in range(2):  # two edges a round: half the tables
-            near = edges.join(now.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("rank").alias("near"))
-            now = now.join(near, "node", "left").select("node", F.least("rank", F.coalesce("near", "rank")).alias("rank"), "old")
-        now, more = cut_any(now, "strong-ranks", F.col("rank") != F.col("old"))
-    return now.select("node", F.col("rank.node").alias("owner"))
-
-
-def _reaching(edges: DataFrame, owners: DataFrame) -> DataFrame:
-    """edges (src, dst, owner) inside colours, owners (node, owner) -> node, owner of all
-    that reaches its owner."""
-    new, more = cut(owners.select("node", "owner"), "strong-core"), True
-    found = new
-    while more:
-        step = edges.join(new.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "owner").distinct()
-        new, more = cut_any(step.join(found.select("node"), "node", "left_anti"), "strong-core")
-        found = found.unionByName(new)
-    return found
+        now = now.select("node", "mark", F.col("mark").alias("old"))
+        for _ in range(steps):
+            near = edges.join(now.select(F.col("node").alias("src"), "mark").dropna(), "src").groupBy(F.col("dst").alias("node")).agg(F.min("mark").alias("near"))
+            now = now.join(near, "node", "left").select("node", F.least("mark", "near").alias("mark"), "old")
+        now, more = cut_any(now, "spread", ~F.col("mark").eqNullSafe(F.col("old")))
+        now = now.select("node", "mark")
+    return now
 
 
 def rollup(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
