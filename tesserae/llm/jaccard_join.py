@@ -13,11 +13,11 @@ two blocks and no pair is left out. A pair is compared only in the first run who
 bucket it shares, first by the tokens, then exactly on the shingle sets. Tasks return
 counts and the least member of each component of their bucket, never pairs.
 
-Texts with equal words are one class from the start, named by the least doc_id. A text
-without words has links to none. A text of fewer than five words is one shingle. Null
-doc_id belongs to the class of its words, if any other text has them, and is never a
-name. Rows with the same doc_id and words are one text, with other words they are texts
-of one document. An empty table gives an empty result.
+Texts with equal words are one class from the start, known by 64 bits of their digest. A
+class is named by the least doc_id in it. A text without words has links to none. A text
+of fewer than five words is one shingle. Null doc_id is joined as any other and is never
+a name: a class of null ids only has none. Texts of one doc_id are joined one by one. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,11 +37,12 @@ WIDTH, SIMILARITY = 5, 0.8
 TOKENS, DEPTH, RECALL = 64, 3, 0.9999
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - SIMILARITY**DEPTH))
 SMALL, BLOCK = 64, 256
+LAST = 2**63 - 1
 #: A pair at the threshold has at least this share of equal tokens but for 4.5 standard deviations.
 LEAST_TOKENS = SIMILARITY - 4.5 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / TOKENS)
 
 PATH = ", ".join(f"k{d}:bigint" for d in range(1, DEPTH + 1))
-EMBEDDED = f"doc_id long, d1 long, d2 long, size int, sketch binary, paths array<struct<{PATH}>>"
+EMBEDDED = f"doc_id long, t long, d1 long, d2 long, size int, sketch binary, paths array<struct<{PATH}>>"
 
 
 class Embedding:
@@ -79,14 +80,14 @@ class Embedding:
 def embed(docs: DataFrame) -> DataFrame:
     tune(docs.sparkSession)
     path_type = pa.struct([(f"k{d}", pa.int64()) for d in range(1, DEPTH + 1)])
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
 
     def run(batches):
         e = Embedding()
         for batch in batches:
             cols: list[list] = [[] for _ in kinds]
             keys, offsets = [], [0]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text, t_hash in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 s, digest = e.set_of(text)
                 d1, d2 = np.frombuffer(digest, np.int64).tolist()
                 sketch = b""
@@ -95,14 +96,14 @@ def embed(docs: DataFrame) -> DataFrame:
                     sketch = (t & np.uint64(255)).astype(np.uint8).tobytes()
                     keys.append(e.paths(t))
                 offsets.append(offsets[-1] + (RUNS if len(s) else 0))
-                for col, v in zip(cols, (doc_id, d1, d2, len(s), sketch), strict=True):
+                for col, v in zip(cols, (doc_id, t_hash, d1, d2, len(s), sketch), strict=True):
                     col.append(v)
             flat = np.concatenate(keys) if keys else np.zeros((0, DEPTH), np.int64)
             structs = pa.StructArray.from_arrays([pa.array(flat[:, d]) for d in range(DEPTH)], fields=list(path_type))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), lists], ["doc_id", "d1", "d2", "size", "sketch", "paths"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), lists], ["doc_id", "t", "d1", "d2", "size", "sketch", "paths"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, EMBEDDED)
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(run, EMBEDDED)
 
 
 def leaf_buckets(reps: DataFrame) -> DataFrame:
@@ -283,39 +284,58 @@ def components(edges: DataFrame) -> DataFrame:
         state = told
 
 
-def similarity_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links (documents at the threshold), n_text_links (other texts)."""
-    embedded = cut(embed(docs), "jaccard-embedded")
-    classes = embedded.filter("size > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    classes = cut(classes, "jaccard-classes")
-    # a document with several texts is a node of its own for each only through its links
-    reps = embedded.join(classes.filter("rep is not null"), ["d1", "d2"]).filter(F.col("doc_id") == F.col("rep"))
-    reps = cut(reps.select("rep", "copies", "size", "sketch", "paths").dropDuplicates(["rep", "sketch", "size"]), "jaccard-texts")
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, o (doc_id, null last), t (hash of the text), comp (null without words),
+    class_id, n_links, n_text_links; a row a row of ``docs``."""
+    embedded = cut(embed(docs), "jaccard-embedded").withColumn("o", F.coalesce("doc_id", F.lit(LAST)))
+    classes = embedded.filter("size > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("name"), F.min(F.struct("o", "t")).alias("h"), F.count("*").alias("copies"))
+    classes = cut(classes.select("d1", "d2", F.col("d1").alias("rep"), "name", F.col("h.o").alias("ho"), F.col("h.t").alias("ht"), "copies"), "jaccard-classes")
+    # one row stands for its class, and its text is read for it
+    reps = embedded.join(classes, ["d1", "d2"]).filter("o = ho and t = ht")
+    reps = cut(reps.select("rep", "ho", "ht", "copies", "size", "sketch", "paths").dropDuplicates(["rep"]), "jaccard-texts")
     leaves = cut(leaf_buckets(reps), "jaccard-leaves")
     by_run = [F.coalesce(F.max(F.when(F.col("run") == r, F.col("key"))), F.lit(0)) for r in range(RUNS)]
     own = leaves.groupBy("rep").agg(F.array(*by_run).alias("leaves"))
     rows = in_blocks(leaves).join(reps.select("rep", "copies", "size", "sketch").join(own, "rep"), "rep")
     order = ["key2", "block", "run", "rep", "copies", "size", "sketch", "leaves"]
     found = cut(candidates(rows.select(*order).repartition("key2").sortWithinPartitions("key2")), "jaccard-candidates")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("rep is not null and text is not null")
+    wanted = reps.select("rep", "ho", "ht").join(found.select("rep").distinct(), "rep")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ho"), F.xxhash64("text").alias("ht"), "text").filter("text is not null")
+    # equal rows of the one that stands for a class are read once
+    texts = texts.join(wanted, ["ho", "ht"]).groupBy("rep").agg(F.min("text").alias("text"))
     full = found.join(texts, "rep").select(*order, "text").repartition("key2").sortWithinPartitions("key2", "rep")
     met = cut(verified(full), "jaccard-links")
     comps = components(met.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    comps = comps.unionByName(comps.select(F.col("comp").alias("node"), "comp").distinct())  # the least node too
+    names = classes.join(comps, F.col("rep") == F.col("node")).groupBy("comp").agg(F.min("name").alias("least"))
+    comps = comps.join(names, "comp")
     links = met.groupBy(F.col("rep").alias("r")).agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))
-    member = embedded.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"], "left")
+    member = embedded.select("doc_id", "o", "t", "d1", "d2").join(classes, ["d1", "d2"], "left")
     out = member.join(links, F.col("rep") == F.col("r"), "left").join(comps, F.col("rep") == F.col("node"), "left")
     return out.select(
-        "doc_id", F.coalesce("comp", "rep", "doc_id").alias("class_id"),
+        "doc_id", "o", "t", F.coalesce("comp", "rep").alias("comp"), F.coalesce("least", "name", "doc_id").alias("class_id"),
         (F.coalesce("docs", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"),
         F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"),
     )
 
 
+def similarity_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_links (documents at the threshold), n_text_links (other texts)."""
+    return _classes(docs).select("doc_id", "class_id", "n_links", "n_text_links")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with the least doc_id of each class only; null ids without a class stay."""
-    lead = similarity_classes(docs).groupBy(F.col("doc_id").alias("__d")).agg(F.min("class_id").alias("__c"))
-    lead = lead.filter("__c is not null and (__d is null or __c <> __d)").select("__d")
-    return docs.join(lead, docs["doc_id"].eqNullSafe(lead["__d"]), "left_anti")
+    """``docs`` with one row of each class: of the least doc_id, null last, then of the least
+    hash of the text, then the least row. Texts without words have no class and stay."""
+    keys = cut(_classes(docs).filter("comp is not null").groupBy("comp", "o", "t").agg(F.count("*").alias("n")), "jaccard-keys")
+    lead = keys.groupBy("comp").agg(F.min(F.struct("o", "t")).alias("lead"))
+    # what goes, and what stays but stands in several rows
+    odd = keys.join(lead, "comp").withColumn("gone", F.struct("o", "t") != F.col("lead")).filter("gone or n > 1")
+    odd = cut(odd.select(F.col("o").alias("__o"), F.col("t").alias("__t"), "gone"), "jaccard-odd")
+    keyed = docs.withColumn("__o", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__t", F.xxhash64("text"))
+    alone = keyed.join(odd, ["__o", "__t"], "left_anti").select(*docs.columns)
+    several = keyed.join(odd.filter("not gone"), ["__o", "__t"], "left_semi")
+    return alone.unionByName(several.groupBy("__o", "__t").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -78,6 +78,19 @@ def test_join_edges(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == want and "rep" in kept.columns
 
 
+def test_keep_one_decides_text_by_text(spark):
+    rng = random.Random(6)
+    a, b, c, d, e = (" ".join(words(rng, 40)) for _ in range(5))
+    near = d.rsplit(" ", 1)[0] + " other"
+    data = [[1, a], [None, a], [None, b], [None, b], [2, a], [2, c], [3, c], [3, c], [None, d], [None, near], [5, e], [5, e], [None, None], [None, ""]]
+    kept = jj.keep_one(frame(spark, [[*r, "en", "s", 0] for r in data])).collect()
+    got = sorted(((r["doc_id"], r["text"]) for r in kept if r["text"] not in (d, near)), key=str)
+    assert got == sorted([(1, a), (None, b), (2, c), (5, e), (None, None), (None, "")], key=str)
+    assert sum(r["text"] in (d, near) for r in kept) == 1
+    links = sorted((r["n_links"], r["n_text_links"]) for r in jj.similarity_classes(frame(spark, [[*r, "en", "s", 0] for r in data])).collect())
+    assert links == sorted([(2, 0)] * 3 + [(1, 0)] * 2 + [(2, 0)] * 3 + [(1, 1)] * 2 + [(1, 0)] * 2 + [(0, 0)] * 2)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = dict(jj.components(edges).collect())
