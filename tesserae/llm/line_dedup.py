@@ -2,7 +2,7 @@
 
 A line is compared by its normal form: lower case, runs of blanks as one. Two lines
 match if they are equal or, with ``MIN_CHARS`` characters, one edit apart. A line goes
-if it matches an earlier line (by doc_id, then line number), dropped or not.
+if it matches an earlier line (by doc_id, hash of the text, line number), dropped or not.
 
 Neighbourhood: for a line x and a length L of |x| or |x| + 1, a variant is what stands
 before and after a hole at a fixed place of a line of length L. Two lines one edit apart
@@ -13,9 +13,10 @@ emit every one-character hole. Variants equal at that width are one edit apart,
 earliest line of each is a minimum and no pairs are listed; the edit distance of every
 line to the earliest it met is then verified.
 
-Null or empty text has no line; blank lines are never compared nor dropped. Rows with
-the same doc_id hold the same lines. Null doc_id comes last. An empty table gives an
-empty result.
+Null or empty text has no line; blank lines are never compared nor dropped. Equal rows
+of one doc_id are one text; other texts of it are compared like those of other ids. Null
+doc_id comes last, and equal texts of it are different documents, of which one stays. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -68,18 +69,24 @@ def variants(x: str, holes: int) -> np.ndarray:
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
-LINE = "doc_id long, line int, h1 long, h2 long, again boolean, keys array<long>"
+LINE = "o long, t long, line int, h1 long, h2 long, again boolean, keys array<long>"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with __o (doc_id, the largest long for null) and __t (hash of the text): the
+    place of a text among all."""
+    return docs.withColumn("__o", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__t", F.xxhash64("text"))
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """Every line with a word: its digest, whether its text had it before, wide variants."""
     tune(docs.sparkSession)
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
 
     def split(batches):
         for batch in batches:
             cols: list[list] = [[] for _ in kinds]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for o, t, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 first: set[bytes] = set()
                 for i, line in enumerate((text or "").split("\n")):
                     if not (x := normal(line)):
@@ -87,12 +94,12 @@ def lines(docs: DataFrame) -> DataFrame:
                     d = xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass"))
                     again = d in first
                     first.add(d)
-                    row = (doc_id, i, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), again, half_variants(x) if len(x) >= MIN_CHARS and not again else [])
+                    row = (o, t, i, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), again, half_variants(x) if len(x) >= MIN_CHARS and not again else [])
                     for col, v in zip(cols, row, strict=True):
                         col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "line", "h1", "h2", "again", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["o", "t", "line", "h1", "h2", "again", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(split, LINE)
+    return _keyed(docs).select("__o", "__t", "text").mapInArrow(split, LINE)
 
 
 def _meeting(rows: DataFrame) -> DataFrame:
@@ -112,35 +119,35 @@ def _expand(texts: DataFrame, holes: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h1, o, line, x: the normal form of the lines in ``wanted`` (o, line, h1)."""
-    per = wanted.groupBy("o").agg(F.collect_list(F.struct("line", "h1")).alias("w"))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("o"), "text").join(per, "o")
+    """h1, o, t, line, x: the normal form of the lines in ``wanted`` (o, t, line, h1)."""
+    per = wanted.groupBy(F.col("o").alias("__o"), F.col("t").alias("__t")).agg(F.collect_list(F.struct("line", "h1")).alias("__w"))
+    keyed = _keyed(docs.select("doc_id", "text")).join(per, ["__o", "__t"])
 
     def pick(batches):
         for batch in batches:
             out = []
-            for o, text, want in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for o, t, text, want in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 parts = (text or "").split("\n")
                 for w in want:
                     if w["line"] < len(parts) and (x := normal(parts[w["line"]])):
                         d = xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass"))
                         if int.from_bytes(d[:8], "big", signed=True) == w["h1"]:
-                            out.append((w["h1"], o, w["line"], x))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.string()))], ["h1", "o", "line", "x"])
+                            out.append((w["h1"], o, t, w["line"], x))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()))], ["h1", "o", "t", "line", "x"])
 
-    return keyed.select("o", "text", "w").mapInArrow(pick, "h1 long, o long, line int, x string")
+    return keyed.select("__o", "__t", "text", "__w").mapInArrow(pick, "h1 long, o long, t long, line int, x string")
 
 
 def near_lines(docs: DataFrame, every: DataFrame, first: DataFrame) -> DataFrame:
     """h1 of the lines that have an earlier line one edit away."""
     wide = _meeting(every.filter(F.size("keys") > 0).select("h1", F.explode("keys").alias("key")))
-    held = every.filter(~F.col("again")).join(wide, "h1", "left_semi").withColumn("o", F.coalesce("doc_id", F.lit(LAST)))
-    held = held.join(first, ["h1", "h2"]).filter(F.col("o") == F.col("first")).groupBy("o", "h1").agg(F.min("line").alias("line"))
+    held = every.filter(~F.col("again")).join(wide, "h1", "left_semi")
+    held = held.join(first, ["h1", "h2"]).filter(F.struct("o", "t") == F.col("first")).groupBy("o", "t", "h1").agg(F.min("line").alias("line"))
     texts = cut(_texts(docs, held).dropDuplicates(["h1"]), "line-texts")
     close = texts.join(_meeting(_expand(texts, FINE)), "h1", "left_semi")
     close = cut(close, "line-close")
-    place = F.struct("o", "line", "h1")
-    single = _expand(close, 0).join(close.select("h1", "o", "line"), "h1")
+    place = F.struct("o", "t", "line", "h1")
+    single = _expand(close, 0).join(close.select("h1", "o", "t", "line"), "h1")
     best = single.groupBy("key").agg(F.min(place).alias("e"), F.count("*").alias("n")).filter("n > 1").select("key", "e")
     met = single.join(best, "key").filter(F.col("e") < place)
     met = met.groupBy("h1").agg(F.min("e").alias("e")).select("h1", F.col("e.h1").alias("other"))
@@ -150,25 +157,33 @@ def near_lines(docs: DataFrame, every: DataFrame, first: DataFrame) -> DataFrame
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """o (doc_id, or the largest long for null), line, near: every line that goes."""
+    """o (doc_id, or the largest long for null), t (hash of the text), line, gone, near."""
     every = cut(lines(docs), "lines")
-    placed = every.withColumn("o", F.coalesce("doc_id", F.lit(LAST)))
-    first = placed.groupBy("h1", "h2").agg(F.min("o").alias("first"))
+    first = every.groupBy("h1", "h2").agg(F.min(F.struct("o", "t")).alias("first"))
     near = cut(near_lines(docs, every, first), "line-near").withColumn("near", F.lit(True))
-    same = placed.select("o", "line", "h1", "h2", "again").join(first, ["h1", "h2"]).join(near, "h1", "left")
-    gone = F.col("again") | (F.col("o") > F.col("first")) | F.col("near").isNotNull()
-    return same.select("o", "line", gone.alias("gone"), (F.col("near").isNotNull()).alias("near"))
+    same = every.select("o", "t", "line", "h1", "h2", "again").join(first, ["h1", "h2"]).join(near, "h1", "left")
+    gone = F.col("again") | (F.struct("o", "t") > F.col("first")) | F.col("near").isNotNull()
+    return same.select("o", "t", "line", gone.alias("gone"), (F.col("near").isNotNull()).alias("near"))
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, n_lines (with a word), n_near, dropped (line numbers)."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("o", F.coalesce("doc_id", F.lit(LAST)))
-    all_lines = dropped_lines(docs).groupBy("o", "line").agg(F.max("gone").alias("gone"), F.max("near").alias("near"))
-    per = all_lines.groupBy("o").agg(
+def _per_text(docs: DataFrame) -> DataFrame:
+    """__o, __t, n_lines, n_near, dropped of every text with a line."""
+    all_lines = dropped_lines(docs).groupBy("o", "t", "line").agg(F.max("gone").alias("gone"), F.max("near").alias("near"))
+    return all_lines.groupBy(F.col("o").alias("__o"), F.col("t").alias("__t")).agg(
         F.count("*").alias("n_lines"), F.count_if("near").alias("n_near"),
         F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("line")))).alias("dropped"),
     )
-    return base.join(per, "o", "left").select(
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """doc_id, n_lines (with a word), n_near, dropped (line numbers): one row a text with
+    lines, and one a doc_id that has none."""
+    ids = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "__o", "__t").distinct()
+    found = cut(ids.join(_per_text(docs), ["__o", "__t"], "left").drop("__t"), "line-report")
+    some = found.filter("n_lines is not null")
+    bare = found.filter("n_lines is null").dropDuplicates(["doc_id"])
+    bare = bare.join(some.select(F.col("doc_id").alias("__d")), F.col("doc_id").eqNullSafe(F.col("__d")), "left_anti")
+    return some.unionByName(bare).select(
         "doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"),
     )
@@ -177,13 +192,19 @@ def report(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines that repeat; a document that loses all of its lines goes."""
     names = docs.columns
-    gone = report(docs).filter(F.size("dropped") > 0).select(F.col("doc_id").alias("__d"), F.col("n_lines").alias("__n"), F.col("dropped").alias("__gone"))
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__d"]), "left").filter("__gone is null or size(__gone) < __n")
+    per = cut(_per_text(docs), "line-dropped")
+    gone = per.filter(F.size("dropped") > 0).select("__o", "__t", F.col("n_lines").alias("__n"), F.col("dropped").alias("__gone"))
+    joined = _keyed(docs).join(gone, ["__o", "__t"], "left").filter("__gone is null or size(__gone) < __n")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
     out = joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*names)
+    # equal texts of null ids that still have lines: the least row stays
+    again = _keyed(docs.filter("doc_id is null").select("doc_id", "text")).groupBy("__o", "__t").agg(F.count("*").alias("n")).filter("n > 1")
+    again = cut(again.join(per.select("__o", "__t"), ["__o", "__t"], "left_semi").select("__t"), "line-again")
+    alone = out.join(again, (out["__t"] == again["__t"]) & out["doc_id"].isNull(), "left_anti").select(*names)
+    several = out.filter("doc_id is null").join(again, "__t", "left_semi")
+    return alone.unionByName(several.groupBy("__t").agg(F.min(F.struct(*names)).alias("__row")).select("__row.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -167,6 +167,19 @@ def test_line_edges(spark):
     assert kept == {1: "a line that is long enough\nown line of the first", 2: "something else entirely here", 4: None}
 
 
+def test_lines_are_dropped_text_by_text(spark):
+    a, b, c, d, e = (f"line {k} that is long enough {k * 9}" for k in "abcde")
+    data = [[1, a], [None, f"{a}\n{b}"], [None, c], [None, d], [None, f"{d}\nown"], [4, f"{a}\n{e}"], [4, f"{e[:-1]}x y z\nmore"], [None, None], [None, c]]
+    docs = frame(spark, [[*r, "en", "s", 0] for r in data])
+    kept = [(r["doc_id"], r["text"]) for r in ld.dedup_lines(docs).collect()]
+    # of the two texts of null ids that hold d, the one with the least hash keeps it
+    either = [[(None, d), (None, "own")], [(None, f"{d}\nown")]]
+    rest = [(1, a), (None, b), (None, c), (4, e), (4, f"{e[:-1]}x y z\nmore"), (None, None)]
+    assert any(sorted(kept, key=str) == sorted(rest + two, key=str) for two in either)
+    rows4 = sorted((r["n_lines"], r["dropped"]) for r in ld.report(docs).filter("doc_id = 4").collect())
+    assert rows4 == [(2, []), (2, [0])]
+
+
 def test_gear_hash_depends_on_32_bytes():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 256, 300, dtype=np.uint8), rng.integers(0, 256, 300, dtype=np.uint8)
