@@ -37,6 +37,8 @@ TRAIN_ROWS, TERMS = 15_000, 5_000
 #: Least log-likelihood ratio of a term, least documents that hold it.
 LEAST_G2, LEAST_DOCS = 25.0, 5
 THRESHOLD = 0.3
+#: A longer token must decode to trigrams that have been met.
+LONG = 64
 
 #: The letters that a sign can stand for.
 SIGNS = {
@@ -97,6 +99,7 @@ class Restorer:
     def __init__(self, counts: np.ndarray, limit: int = 100_000):
         two = counts.sum(2, keepdims=True)
         back = (counts.sum(0) + 0.1) / (counts.sum(0).sum(1, keepdims=True) + 0.1 * SIZE)
+        self.met = counts > 0
         self.logp = np.log((counts + 2 * back[None]) / (two + 2)).astype(np.float32)
         self.seen: dict[str, str] = {}
         self.limit = limit
@@ -121,32 +124,46 @@ class Restorer:
     def decode(self, token: str) -> str:
         if (got := self.seen.get(token)) is not None:
             return got
-        states = {(0, 0): (0.0, "")}
-        for ways in self.lattice(token[:64]):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in states.items():
+        # a path is a string and the path before it, so a step costs the same in any token
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for ways in self.lattice(token):
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, path) in states.items():
                 for string, price in ways:
                     s, x, y = score + price, a, b
                     for c in string:
                         z = CODE[c]
                         s, x, y = s + float(self.logp[x, y, z]), y, z
                     if (x, y) not in after or s > after[x, y][0]:
-                        after[x, y] = (s, text + string)
+                        after[x, y] = (s, (string, path))
             states = after
-        best = max(((s + float(self.logp[a, b, 0]), text) for (a, b), (s, text) in states.items()), default=(0, token))[1]
-        if len(self.seen) >= self.limit:
-            self.seen.clear()
-        self.seen[token] = best
+        path, parts = max(((s + float(self.logp[a, b, 0]), path) for (a, b), (s, path) in states.items()), key=lambda x: x[0])[1], []
+        while path:
+            parts.append(path[0])
+            path = path[1]
+        best = "".join(reversed(parts))
+        if len(token) <= LONG:  # longer ones are rare, and would fill the memory
+            if len(self.seen) >= self.limit:
+                self.seen.clear()
+            self.seen[token] = best
         return best
 
+    def _token(self, token: str) -> str:
+        best = self.decode(token)
+        if len(token) <= LONG:
+            return best
+        c = [0, *(CODE[x] for x in best), 0]
+        return best if all(self.met[g] for g in zip(c, c[1:], c[2:], strict=False)) else token
+
     def restore(self, text: str) -> str:
-        """Lower-case text with hidden words restored. A token longer than 64 characters
-        is no word and stays as it is."""
+        """Lower-case text with hidden words restored. A token without blanks of more than
+        ``LONG`` characters is decoded as any other, but stays as it is if what comes out has
+        a trigram that no text has."""
         text = text.lower()
         text = SPACED.sub(lambda m: self.decode(re.sub(r"[ .\-_*]", "", m[0])), text)
         if not SIGN_IN_WORD.search(text) and not _has_run(text):
             return text
-        return HIDDEN.sub(lambda m: self.decode(m[0]) if len(m[0]) <= 64 else m[0], text)
+        return HIDDEN.sub(lambda m: self._token(m[0]), text)
 
 
 def terms(word: str) -> list[str]:

@@ -63,6 +63,24 @@ def test_restorer_decodes_hidden_words():
         assert r.restore(hidden) == plain
 
 
+def word_counts(words):
+    counts = np.zeros((toxicity.SIZE,) * 3)
+    for word in words:
+        c = [0, 0, *(toxicity.CODE[x] for x in word), 0]
+        for g in zip(c, c[1:], c[2:], strict=False):
+            counts[g] += 50
+    return counts
+
+
+def test_restorer_decodes_whole_tokens():
+    r = toxicity.Restorer(word_counts(["stupid", "worthless", "idiot", "abc"]))
+    spaced = " ".join("abc" * 24 + "worthlessidiot")
+    assert r.restore(spaced).replace(" ", "") == "abc" * 24 + "worthlessidiot"
+    assert r.restore("stu" + "u" * 70 + "pid") == "stupid"
+    assert r.restore("a " + "x" * 100 + "1a") == "a " + "x" * 100 + "1a"
+    assert len(r.decode("abc1" * 50_000)) >= 150_000
+
+
 def brute_rules(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     wins = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
