@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The six ASCII blanks that separate words.
@@ -18,6 +18,20 @@ def blank_words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK_RUN))
 
 
+def set_aside(docs: DataFrame, names: list[str]) -> DataFrame:
+    """``docs`` with columns that have one of ``names`` renamed to ``<name>_input``, so that
+    an operator can add its own under these names. Names differ by more than case."""
+    taken, wanted = {c.lower() for c in docs.columns}, {n.lower() for n in names}
+    for c in docs.columns:
+        if c.lower() in wanted:
+            new = f"{c}_input"
+            while new.lower() in taken:
+                new += "_input"
+            taken.add(new.lower())
+            docs = docs.withColumnRenamed(c, new)
+    return docs
+
+
 class HashCache(dict):
     """word -> 64-bit hash, emptied when it holds ``limit`` words, so memory is bounded."""
 

@@ -1,25 +1,32 @@
 """Toxicity: a noisy-channel restorer in front of a linear score.
 
 A text may hide words by digits and signs for letters, by blanks between letters or by
-repeated letters. Such tokens become a lattice of the characters each sign can stand
-for and the ways to shorten a run; Viterbi decoding finds the path that is likeliest
-under a character model times the channel. The character model holds trigram counts of
-all documents over a fixed alphabet, so it has at most ``len(ALPHABET) + 1`` cubed rows.
+repeated letters. Such words become a lattice of the characters each sign can stand
+for, the ways to shorten a run and, between spaced letters, the word breaks that may
+stand there; Viterbi decoding finds the path that is likeliest under a character model
+times the channel. The character model holds trigram counts of all documents over a
+fixed alphabet, so it has at most ``len(ALPHABET) + 1`` cubed rows.
+
+A word is decoded if it has a letter and a sign (at its ends too) or a letter that
+stands twice or more; all of it is decoded, whatever its length. Where the lattice has
+one open place only, its decision is read from tables made of the same prices.
 
 The restored words are scored by evidence: whole words and word beginnings whose
-counts in toxic and other labelled documents differ significantly. A logistic
-regression turns the strongest evidence of a text into a probability.
+counts in toxic and other labelled documents differ significantly. Letters that stood
+apart are also searched for such words at every place, since the breaks were guessed. A
+logistic regression turns the strongest evidence of a text into a probability.
 
 At most ``TRAIN_ROWS`` labelled rows of each label are learnt from, by a hash of
 doc_id, and at most ``TERMS`` terms are kept. Only the text is an input of the score.
 Null text counts as empty; rows repeat freely; an empty table gives an empty result;
-without labels of both kinds every score is the share of label 1, or 0.
+without labels of both kinds every score is the share of label 1, or 0. A column of
+``docs`` with the name of the score is kept as ``<name>_input``.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from tesserae.llm.common import set_aside
 from tesserae.llm.quality_model import held_out, labelled_sample
 from tesserae.runtime import tune
 
@@ -37,19 +45,31 @@ TRAIN_ROWS, TERMS = 15_000, 5_000
 #: Least log-likelihood ratio of a term, least documents that hold it.
 LEAST_G2, LEAST_DOCS = 25.0, 5
 THRESHOLD = 0.3
-#: A longer token must decode to trigrams that have been met.
+#: A longer word must decode to trigrams that have been met; it is not remembered.
 LONG = 64
+#: Prices: a letter as it stands, a shorter run of two or of more, a sign dropped before or
+#: behind a word (also: one that is no punctuation), a break or none where letters stand
+#: apart by one or by more characters.
+AS_IS, SHORTER_TWO, SHORTER, DROPPED, RARELY_DROPPED = -0.1, -2.0, -0.7, -1.5, -8.0
+BREAK, WIDE_JOIN = -3.0, -4.0
 
 #: The letters that a sign can stand for.
 SIGNS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "#": "h",
 }
-LETTER = "a-zà-öø-ÿß"
-HIDDEN = re.compile(rf"(?=[^\s]*[{LETTER}])[{LETTER}0-9@$!|+(€£*#]*[0-9@$!|+(€£*#][{LETTER}0-9@$!|+(€£*#]*[{LETTER}][{LETTER}0-9]*|[{LETTER}]*([{LETTER}])\1\1[{LETTER}]*")
-SPACED = re.compile(rf"(?<![{LETTER}0-9@$!])(?:[{LETTER}0-9@$!][ .\-_*]){{3,}}[{LETTER}0-9@$!](?![{LETTER}0-9@$!])")
-SIGN_IN_WORD = re.compile(rf"[0-9@$!|+(€£*#][{LETTER}]")
-WORD = re.compile(rf"[{LETTER}]+")
+#: Signs that also stand as punctuation before or behind a word.
+BEFORE, BEHIND = "(*#|+", "!*#|+("
+LETTERS, MARKS = ALPHABET, re.escape("".join(SIGNS))
+#: What may be one hidden word; other characters stand between words.
+PIECE = re.compile(rf"[{LETTERS}{MARKS}]+")
+OPEN = re.compile(rf"[{MARKS}]|([{LETTERS}])\1")
+LETTER = re.compile(rf"[{LETTERS}]")
+DOUBLE = re.compile(rf"([{LETTERS}])\1+")
+SIGN_RUN = re.compile(rf"^([{LETTERS}]+)(([{MARKS}])\3*)$")
+SINGLE = rf"[{LETTERS}0-9@$!]"
+SPACED = re.compile(rf"(?<![{LETTERS}0-9@$!])(?:{SINGLE}[ .\-_*]{{1,3}}){{3,}}{SINGLE}(?![{LETTERS}0-9@$!])")
+WORD = re.compile(r"[a-zà-öø-ÿ]+")
 CODE = {c: i + 1 for i, c in enumerate(ALPHABET)}
 
 
@@ -61,10 +81,23 @@ def _table() -> np.ndarray:
     return out
 
 
-def _has_run(text: str) -> bool:
-    """Whether a character from 'a' on stands three times in a row."""
-    p = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return bool(((p[2:] == p[1:-1]) & (p[1:-1] == p[:-2]) & (p[2:] >= 97)).any())
+def _single_table() -> np.ndarray:
+    """Code point -> whether it may be a letter of a spaced word."""
+    out = np.zeros(0x180, bool)
+    out[[ord(c) for c in ALPHABET + "0123456789@$!"]] = True
+    return out
+
+
+SINGLES = _single_table()
+
+
+def _has_spaced(text: str) -> bool:
+    """Whether four letters or signs stand alone and near to each other: a quick test before
+    the pattern."""
+    points = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    one = SINGLES[np.minimum(points, len(SINGLES) - 1)]
+    at = np.flatnonzero(one[1:-1] & ~one[:-2] & ~one[2:])
+    return len(at) >= 4 and bool((at[3:] - at[:-3] <= 12).any())
 
 
 def character_counts(docs: DataFrame) -> np.ndarray:
@@ -79,9 +112,11 @@ def character_counts(docs: DataFrame) -> np.ndarray:
                     continue
                 points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
                 c = table[np.minimum(points, len(table) - 1)]
-                total += np.bincount((c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:], minlength=SIZE**3) if len(c) > 20_000 else 0
-                if len(c) <= 20_000:
-                    gram, n = np.unique((c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:], return_counts=True)
+                grams = (c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:]
+                if len(grams) > 20_000:
+                    total += np.bincount(grams, minlength=SIZE**3)
+                else:
+                    gram, n = np.unique(grams, return_counts=True)
                     total[gram] += n
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], ["gram", "n"])
@@ -94,76 +129,146 @@ def character_counts(docs: DataFrame) -> np.ndarray:
 
 
 class Restorer:
-    """Viterbi decoding of suspicious tokens; the others pass as they are."""
+    """Viterbi decoding of what may hide words; the rest passes as it is."""
 
     def __init__(self, counts: np.ndarray, limit: int = 100_000):
         two = counts.sum(2, keepdims=True)
         back = (counts.sum(0) + 0.1) / (counts.sum(0).sum(1, keepdims=True) + 0.1 * SIZE)
-        self.met = counts > 0
-        self.logp = np.log((counts + 2 * back[None]) / (two + 2)).astype(np.float32)
+        logp = np.log((counts + 2 * back[None]) / (two + 2))
+        self.met = (counts > 0).ravel().tolist()
+        self.logp = logp.ravel().tolist()
+        # a letter that stands twice between y and z: whether once is the better reading
+        two_l = np.stack([logp[:, k, k] for k in range(SIZE)], 1)
+        l_two = np.stack([logp[k, k, :] for k in range(SIZE)], 0)
+        self.once = (logp - two_l[:, :, None] - l_two[None] + SHORTER_TWO > 0).tolist()
         self.seen: dict[str, str] = {}
+        self.ends: dict[tuple[str, str, int], str] = {}
         self.limit = limit
 
-    def lattice(self, token: str) -> list[list[tuple[str, float]]]:
+    @staticmethod
+    def lattice(token: str) -> list[list[tuple[str, float]]]:
         """For each run of equal characters the strings it can stand for, with channel costs."""
-        out, i = [], 0
-        while i < len(token):
+        out, i, n = [], 0, len(token)
+        while i < n:
             c, j = token[i], i
-            while j < len(token) and token[j] == c:
+            while j < n and token[j] == c:
                 j += 1
-            letters = c if c in CODE else SIGNS.get(c, "")
-            price = -0.1 if c in CODE else -1.0 - 0.3 * len(letters)
-            ways = [("", -4.0)] if not letters else []
+            own = c in CODE
+            letters, price = (c, AS_IS) if own else (SIGNS[c], -1.0 - 0.3 * len(SIGNS[c]))
+            ways = []
+            if not own and (i == 0 or j == n):
+                ways.append(("", DROPPED if c in (BEFORE if i == 0 else BEHIND) else RARELY_DROPPED))
+            shorter = SHORTER_TWO if own and j - i == 2 else SHORTER
             for letter in letters:
-                for k in {1, min(2, j - i)} | ({j - i} if j - i == 2 else set()):
-                    ways.append((letter * k, price - (0.7 if k != j - i else 0.0)))
+                ways.append((letter, price + (shorter if j - i > 1 else 0.0)))
+                if j - i > 1:
+                    ways.append((letter * 2, price + (SHORTER if j - i > 2 else 0.0)))
             out.append(ways)
             i = j
         return out
 
-    def decode(self, token: str) -> str:
-        if (got := self.seen.get(token)) is not None:
-            return got
+    @staticmethod
+    def spaced_lattice(run: str) -> list[list[tuple[str, float]]]:
+        """As ``lattice`` for letters that stand apart, with a way to break between them."""
+        out: list[list[tuple[str, float]]] = []
+        gap = 0
+        for c in run:
+            if c in CODE or c in "0123456789@$!":
+                if out:
+                    out.append([("", 0.0), (" ", BREAK)] if gap < 2 else [("", WIDE_JOIN), (" ", 0.0)])
+                out.append([(c, AS_IS)] if c in CODE else [(x, -1.0) for x in SIGNS[c]])
+                gap = 0
+            else:
+                gap += 1
+        return out
+
+    def best(self, lattice: list[list[tuple[str, float]]], only_met: bool = False) -> str | None:
+        """The likeliest path; with ``only_met`` None if each one has a trigram never met."""
         # a path is a string and the path before it, so a step costs the same in any token
-        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-        for ways in self.lattice(token):
-            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-            for (a, b), (score, path) in states.items():
+        logp, met = self.logp, self.met
+        states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+        for ways in lattice:
+            after: dict[int, tuple[float, tuple | None]] = {}
+            for state, (score, path) in states.items():
                 for string, price in ways:
-                    s, x, y = score + price, a, b
+                    s, at, known = score + price, state, True
                     for c in string:
-                        z = CODE[c]
-                        s, x, y = s + float(self.logp[x, y, z]), y, z
-                    if (x, y) not in after or s > after[x, y][0]:
-                        after[x, y] = (s, (string, path))
+                        gram = at * SIZE + CODE.get(c, 0)
+                        s, at, known = s + logp[gram], gram % (SIZE * SIZE), known and met[gram]
+                    if (known or not only_met) and (at not in after or s > after[at][0]):
+                        after[at] = (s, (string, path))
             states = after
-        path, parts = max(((s + float(self.logp[a, b, 0]), path) for (a, b), (s, path) in states.items()), key=lambda x: x[0])[1], []
+        ends = [(s + logp[at * SIZE], path) for at, (s, path) in states.items() if not only_met or met[at * SIZE]]
+        if not ends:
+            return None
+        path, parts = max(ends, key=lambda x: x[0])[1], []
         while path:
             parts.append(path[0])
             path = path[1]
-        best = "".join(reversed(parts))
-        if len(token) <= LONG:  # longer ones are rare, and would fill the memory
-            if len(self.seen) >= self.limit:
-                self.seen.clear()
-            self.seen[token] = best
-        return best
-
-    def _token(self, token: str) -> str:
-        best = self.decode(token)
-        if len(token) <= LONG:
-            return best
-        c = [0, *(CODE[x] for x in best), 0]
-        return best if all(self.met[g] for g in zip(c, c[1:], c[2:], strict=False)) else token
+        return "".join(reversed(parts))
+
+    def _end(self, core: str, sign: str, n: int) -> str:
+        """What a run of one sign behind letters stands for; it depends on two letters only."""
+        key = (core[-2:], sign, min(n, 3))
+        if (got := self.ends.get(key)) is None:
+            stem = key[0] if len(core) > 1 else core
+            at = 0
+            for c in stem:
+                at = at * SIZE % (SIZE * SIZE) + CODE[c]
+            found = []
+            for string, price in self.lattice(stem + sign * key[2])[-1]:
+                s, now = price, at
+                for c in string:
+                    gram = now * SIZE + CODE[c]
+                    s, now = s + self.logp[gram], gram % (SIZE * SIZE)
+                found.append((s + self.logp[now * SIZE], string))
+            got = self.ends[key] = max(found)[1]
+        return got
+
+    def _keeps_doubles(self, word: str, ends: bool) -> bool:
+        """Whether letters that stand twice stay so; false where runs are longer, touch each
+        other or, unless the token ends there, the end."""
+        last = -1
+        for m in DOUBLE.finditer(word):
+            i, j = m.span()
+            if j - i > 2 or i == last or (j == len(word) and not ends):
+                return False
+            y = CODE[word[i - 1]] if i else 0
+            z = CODE[word[j]] if j < len(word) else 0
+            if self.once[y][CODE[word[i]]][z]:
+                return False
+            last = j
+        return True
+
+    def decode(self, token: str) -> str:
+        """The likeliest reading of a piece (letters and signs, a letter at least)."""
+        if (got := self.seen.get(token)) is not None:
+            return got
+        m = SIGN_RUN.match(token)
+        core = m[1] if m else token
+        if (m or not any(c in SIGNS for c in token)) and self._keeps_doubles(core, not m):
+            return core + self._end(core, m[3], len(m[2])) if m else token
+        if len(token) > LONG:
+            return self.best(self.lattice(token), only_met=True) or token
+        if len(self.seen) >= self.limit:
+            self.seen.clear()
+        out = self.seen[token] = self.best(self.lattice(token))
+        return out
+
+    def _pieces(self, token: str) -> str:
+        return PIECE.sub(lambda m: self.decode(m[0]) if OPEN.search(m[0]) and LETTER.search(m[0]) else m[0], token)
 
     def restore(self, text: str) -> str:
-        """Lower-case text with hidden words restored. A token without blanks of more than
-        ``LONG`` characters is decoded as any other, but stays as it is if what comes out has
-        a trigram that no text has."""
+        """Lower-case text with hidden words restored. A piece of more than ``LONG`` characters
+        stays as it is if every reading of it has a trigram that no text has."""
         text = text.lower()
-        text = SPACED.sub(lambda m: self.decode(re.sub(r"[ .\-_*]", "", m[0])), text)
-        if not SIGN_IN_WORD.search(text) and not _has_run(text):
-            return text
-        return HIDDEN.sub(lambda m: self._token(m[0]), text)
+        if _has_spaced(text):
+            text = SPACED.sub(lambda m: self.best(self.spaced_lattice(m[0])), text)
+        return re.sub(r"\S+", lambda m: self._pieces(m[0]), text)
+
+    def words(self, token: str) -> list[str]:
+        """The restored words of one token of a lower-case text."""
+        return WORD.findall(self._pieces(token) if OPEN.search(token) else token)
 
 
 def terms(word: str) -> list[str]:
@@ -171,27 +276,61 @@ def terms(word: str) -> list[str]:
     return ["=" + word, *(word[:n] for n in (4, 5, 6) if len(word) > n)]
 
 
-def evidence(texts: list[str | None], restorer: Restorer, weight: dict[str, float], known: dict[str, float]) -> np.ndarray:
-    """The strongest evidence of each text: largest, second, mean of five, its count, length."""
+class Reader:
+    """text -> what it holds of ``of(word)``, remembered by token."""
+
+    def __init__(self, counts: np.ndarray, of, restore: bool = True, limit: int = 200_000):
+        self.restorer, self.of, self.on, self.limit, self.known = Restorer(counts), of, restore, limit, {}
+
+    def tokens(self, text: str | None) -> tuple[set[str], list[str]]:
+        """Distinct tokens of the lower-case text, and the runs of spaced letters as restored."""
+        text, runs = (text or "").lower(), []
+        if self.on and _has_spaced(text):
+            text = SPACED.sub(lambda m: runs.append(self.restorer.best(self.restorer.spaced_lattice(m[0]))) or runs[-1], text)
+        return set(text.split()), runs
+
+    def found(self, tokens: set[str]) -> Iterator:
+        for token in tokens:
+            if (got := self.known.get(token)) is None:
+                words = self.restorer.words(token) if self.on else WORD.findall(token)
+                got = tuple(x for w in words for x in self.of(w))
+                if len(token) <= LONG:
+                    if len(self.known) >= self.limit:
+                        self.known.clear()
+                    self.known[token] = got
+            yield from got
+
+
+def evidence(texts: list[str | None], reader: Reader, weight: dict[str, float]) -> np.ndarray:
+    """The strongest evidence of each text: largest, second, mean of five, its count, length.
+    ``reader`` gives (word, weight) of the words that have one."""
     out = np.zeros((len(texts), 5))
+    sizes = sorted({len(t) - 1 for t in weight if t[0] == "=" and len(t) > 5})
     for i, text in enumerate(texts):
-        words = set(WORD.findall(restorer.restore(text or "")))
-        found = []
-        for word in words:
-            if (w := known.get(word)) is None:
-                if len(known) > 200_000:
-                    known.clear()
-                w = known[word] = max((weight.get(t, 0.0) for t in terms(word)), default=0.0)
-            if w:
-                found.append(w)
-        found.sort(reverse=True)
+        tokens, runs = reader.tokens(text)
+        best = dict(reader.found(tokens))
+        for run in runs:
+            run = run.replace(" ", "")
+            for n in sizes:
+                for k in range(len(run) - n + 1):
+                    if w := weight.get("=" + run[k : k + n]):
+                        best[run[k : k + n]] = w
+        found = sorted(best.values(), reverse=True)
         if found:
             out[i, 0], out[i, 2], out[i, 3] = found[0], sum(found[:5]) / 5, np.log1p(len(found))
             out[i, 1] = found[1] if len(found) > 1 else 0
-        out[i, 4] = np.log1p(len(words)) / 10
+        out[i, 4] = np.log1p(len(tokens)) / 10
     return out
 
 
+def _weigh(weight: dict[str, float]):
+    def of(word: str) -> list[tuple[str, float]]:
+        w = max((weight.get(t, 0.0) for t in terms(word)), default=0.0)
+        return [(word, w)] if w else []
+
+    return of
+
+
 class Logistic:
     def fit(self, x: np.ndarray, y: np.ndarray) -> Logistic:
         self.base, self.w = (float(y.mean()) if len(y) else 0.0), None
@@ -223,7 +362,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic"):
     sample = docs.join(F.broadcast(ids), "doc_id").select("text", "y").filter("text is not null")
 
     def count(batches):
-        restorer, held = Restorer(counts), {}
+        reader, held = Reader(counts, terms), {}
 
         def flush():
             names = list(held)
@@ -232,7 +371,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic"):
 
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for term in {t for w in set(WORD.findall(restorer.restore(text))) for t in terms(w)}:
+                for term in set(reader.found(reader.tokens(text)[0])):
                     held.setdefault(term, [0, 0])[y] += 1
                 if len(held) > 200_000:
                     yield from flush()
@@ -251,9 +390,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic"):
         weight = {r["term"]: r["w"] for r in best.select("term", "w").collect()}  # at most TERMS rows
 
     def rate(batches):
-        restorer, known = Restorer(counts), {}
+        reader = Reader(counts, _weigh(weight))
         for batch in batches:
-            x = evidence(batch.column(0).to_pylist(), restorer, weight, known)
+            x = evidence(batch.column(0).to_pylist(), reader, weight)
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
     rows = sample.mapInArrow(rate, "x array<double>, y long").toArrow()  # at most about 2 * TRAIN_ROWS rows
@@ -261,16 +400,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic"):
     return counts, weight, Logistic().fit(x, rows.column("y").to_numpy().astype(float))
 
 
-def with_score(docs: DataFrame, model, text: str = "text", score: str = "score") -> DataFrame:
-    """``docs`` with a column ``score``."""
+def with_score(docs: DataFrame, model, text: str = "text", score: str = "score", restore: bool = True) -> DataFrame:
+    """``docs`` with a column ``score``; ``restore=False`` reads the texts as they stand."""
     counts, weight, logistic = model
     tune(docs.sparkSession)
+    docs = set_aside(docs, [score])
     names, at = docs.columns, docs.columns.index(text)
 
     def rate(batches):
-        restorer, known = Restorer(counts), {}
+        reader = Reader(counts, _weigh(weight), restore)
         for batch in batches:
-            s = logistic.score(evidence(batch.column(at).to_pylist(), restorer, weight, known))
+            s = logistic.score(evidence(batch.column(at).to_pylist(), reader, weight))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*names, score])
 
     return docs.mapInArrow(rate, StructType([*docs.schema.fields, StructField(score, DoubleType())]))

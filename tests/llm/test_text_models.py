@@ -3,7 +3,9 @@
 import base64
 import hashlib
 import io
+import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -81,6 +83,83 @@ def test_restorer_decodes_whole_tokens():
     assert len(r.decode("abc1" * 50_000)) >= 150_000
 
 
+def test_restorer_takes_any_sign_repeat_and_break():
+    r = toxicity.Restorer(word_counts(["stupid", "worthless", "idiot", "hate", "you", "a", "clown", "what"] * 3))
+    cases = {
+        "hat3": "hate", "id107!": "idiot", "worthle$$": "worthless", "stuupid": "stupid", "*idiot*": "idiot", "idiot!!": "idiot", "$tupid,": "stupid,",
+        "w h a t a c l o w n": "what a clown", "y o u  i d i o t": "you idiot", "y.o.u i-d-i-o-t": "you idiot", "12 345 + 6": "12 345 + 6", "pão 1": "pão 1",
+    }
+    for hidden, plain in cases.items():
+        assert r.restore(hidden) == plain, hidden
+    long = " ".join("worthlessidiot" * 36)
+    assert r.restore(long).replace(" ", "") == "worthlessidiot" * 36
+
+
+def test_restorer_is_linear():
+    r = toxicity.Restorer(word_counts(["stupid", "idiot"]))
+    for text in ("0" * 1_000_000 + ",a aaa", "0" * 1_000_000, "a1" * 20_000, "x. " * 300_000, "ab" * 500_000, "$" * 500_000 + "a"):
+        began = time.process_time()
+        r.restore(text)
+        assert time.process_time() - began < 5
+
+
+def test_short_ways_are_the_decoder(small):
+    """The tables for one open place give what the whole lattice gives."""
+    rng = np.random.default_rng(5)
+    counts = np.zeros((toxicity.SIZE,) * 3)
+    np.add.at(counts, tuple(rng.integers(0, 12, (3, 4000))), 5)
+    r = toxicity.Restorer(counts)
+    for _ in range(3000):
+        word = "".join(rng.choice(list("abcdefghijk"), rng.integers(1, 8)))
+        token = word + rng.choice(["", "!", "$$", "###", "1"])
+        if any(c in toxicity.SIGNS for c in token) or toxicity.DOUBLE.search(token):
+            assert r.decode(token) == r.best(r.lattice(token)), token
+
+
+def test_hidden_toxicity_is_found(spark, small):
+    """Held-out texts hidden in three ways score as the plain ones, but not without restoration."""
+    rng = random.Random(3)
+    marked = "idiot moron stupid pathetic worthless garbage".split()
+    hide = [
+        lambda w: w.translate(str.maketrans("ioatse", "10@7$3")),
+        " ".join,
+        lambda w: "".join(c * (3 if c in "aeiou" else 1) for c in w),
+    ]
+    texts = [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").filter("lang = 'en' and n_chars > 800").orderBy("doc_id").limit(240).collect()]
+    train, plain, hidden = [], [], []
+    for i, text in enumerate(texts):
+        words, y = [w for w in text.split()[:120] if not any(m in w.lower() for m in marked)], i % 2
+        places = sorted(rng.sample(range(len(words)), 4))  # the others hide harmless words
+        picked = [rng.choice(marked if y else words) for _ in places]
+        with_words = lambda form, words=words, places=places, picked=picked: " ".join(w + (" " + form(picked[places.index(k)]) if k in places else "") for k, w in enumerate(words))
+        if i < 140:
+            train.append((i, with_words(str), y))
+        else:
+            plain.append((i, with_words(str), y))
+            hidden += [(1000 * (k + 1) + i, with_words(form), y) for k, form in enumerate(hide)]
+    docs = spark.createDataFrame(train, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+
+    def area(data, **more):
+        out = toxicity.with_score(spark.createDataFrame(data, "doc_id long, text string, toxic int"), model, **more).toPandas()
+        return auc(out.score.to_numpy() + 1e-9 * np.random.default_rng(1).random(len(out)), out.toxic.to_numpy())
+
+    assert area(plain) > 0.95
+    for k in range(3):
+        part = [r for r in hidden if r[0] // 1000 == k + 1]
+        assert area(part) > area(plain) - 0.02, k
+        assert area(part, restore=False) < 0.7, k
+
+
+def test_clashing_score_column_is_kept(spark):
+    docs = frame(spark, rows()).withColumn("score", F.lit("x")).withColumn("SCORE_input", F.lit("z"))
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], LABELS)
+    for module, label in ((toxicity, "toxic"), (quality_model, "quality")):
+        out = module.with_score(docs, module.fit(docs, labels, label), "text")
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "score_input_input", "SCORE_input", "score"]
+        assert {(r["score_input_input"], r["SCORE_input"]) for r in out.collect()} == {("x", "z")}
+
+
 def brute_rules(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     wins = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
