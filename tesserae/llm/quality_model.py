@@ -1,121 +1,120 @@
-"""Quality classifier: random-indexing word vectors, pooled by document, then a network
-of two layers with temperature-calibrated probabilities, all in numpy.
-
-Random indexing: each word (a hash bucket) and each word shape has a fixed sparse
-ternary vector; the vector of a word is its own plus the mean of its neighbours', summed
-over the whole corpus. Every partition sends one row for each bucket it met; the sums
-end in a table of fixed size, ``BUCKETS + SHAPES`` rows, which goes to the driver and
-into the tasks. The network is fitted on at most ``TRAIN_ROWS`` labelled rows, chosen
-by a hash of doc_id; a fifth of them only sets the temperature.
+"""Quality classifier: random-indexing vectors, pooled by document, then a network of two
+layers with temperature-calibrated probabilities, all in numpy.
+
+Random indexing: each word as it stands (signs and case kept) and each run of three
+characters is a hash bucket with a fixed sparse ternary vector; the vector of a bucket
+is its own plus the mean of its neighbours', over the whole corpus, less the mean of all. Words
+meet the words beside them, runs the run that follows. Every partition sends one row for
+each bucket it met; the sums end in a table of fixed size, ``2 * BUCKETS`` rows, which
+goes to the driver and into the tasks.
+
+A document is the mean of its words' vectors, the mean of its runs' vectors and the mean
+of its pairs': the vector of two words in a row is the product of their ternary vectors,
+place by place. Means are drawn to that of the corpus by ``PRIOR`` words, since short
+texts tell little. The network has no other input. It is fitted on at most ``TRAIN_ROWS``
+labelled rows, chosen by a hash of doc_id; a fifth of them only sets the temperature.
 
 Only the text is an input of the score. Null text counts as empty, and an empty text
 has the score the network gives to no words. Rows repeat freely, each is scored on its
 own; an empty table gives an empty result; without labels of both kinds every score
-is the share of label 1, or 0.5.
+is the share of label 1, or 0.5. A column of ``docs`` with the name of the score is
+kept as ``<name>_input``.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tesserae.llm.common import HashCache
+from tesserae.llm.common import HashCache, set_aside
 from tesserae.runtime import tune
 
-BUCKETS, SHAPES, DIM, NONZERO = 4096, 16, 64, 4
+BUCKETS, DIM, NONZERO = 4096, 64, 4
+WIDTH = 3 * DIM
+#: Words, runs and pairs of the corpus mean that each document is mixed with.
+PRIOR = (10, 40, 10)
 #: Bound of the labelled sample the network is fitted on.
 TRAIN_ROWS = 20_000
-HIDDEN, STEPS, SEED = 32, 400, 5
-EXTRAS = 6
-CHUNK = 50_000
-
-#: shape number -> what a token of that shape looks like; 0 is any other token
-SHAPE_RULES = (
-    (1, re.compile(r"^[^\w\s]+$")),
-    (2, re.compile(r"[#*$%&|<>~^=]{2,}")),
-    (3, re.compile(r"[!?]{2,}")),
-    (4, re.compile(r"@\w|://|www\.")),
-    (5, re.compile(r"^[^a-z]*[A-Z]{2}[^a-z]*$")),
-    (6, re.compile(r"\d")),
-    (7, re.compile(r"[#*$%&|<>~^=]")),
-)
-REPEAT = 8
-
-
-class Tokens(HashCache):
-    """token -> bucket + BUCKETS * shape."""
-
-    def __missing__(self, token: str) -> int:
-        shape = 0
-        if not token.isalpha() or token.isupper():
-            shape = next((n for n, rule in SHAPE_RULES if rule.search(token)), 0)
-        core = token.lower().strip(".,;:!?#*$%&|<>\"'()[]")
-        if len(self) >= self.limit:
-            self.clear()
-        import xxhash
-
-        value = self[token] = xxhash.xxh3_64_intdigest(core.encode("utf-8", "surrogatepass")) % BUCKETS + BUCKETS * shape
-        return value
+HIDDEN, STEPS, SEED, DECAY = 32, 400, 5, 1e-3
+#: Characters and words that are handled at once.
+CHUNK = 400_000
 
 
 def index_vectors() -> np.ndarray:
     rng = np.random.default_rng(SEED)
-    out = np.zeros((BUCKETS + SHAPES, DIM), np.float32)
-    for row in out:
-        row[rng.choice(DIM, NONZERO, replace=False)] = rng.choice([-1.0, 1.0], NONZERO)
+    places = rng.random((2 * BUCKETS, DIM)).argsort(1)[:, :NONZERO]
+    out = np.zeros((2 * BUCKETS, DIM), np.float32)
+    np.put_along_axis(out, places, rng.choice(np.array([-1.0, 1.0], np.float32), places.shape), 1)
     return out
 
 
-def _streams(texts: list[str | None], tokens: Tokens) -> Iterator[tuple[list[int], np.ndarray]]:
-    """(numbers of the texts, codes with -1 behind each text) by chunks of texts."""
-    held, codes, n = [], [], 0
+def word_codes(text: str, words: HashCache) -> np.ndarray:
+    return (words.of(text.split()) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def run_codes(text: str) -> np.ndarray:
+    """The bucket of each run of three characters, the text between two blanks."""
+    p = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    p = np.where(p <= 32, np.uint32(32), p)
+    h = p[:-2] * np.uint32(0x9E3779B1) + p[1:-1] * np.uint32(0x85EBCA77) + p[2:] * np.uint32(0xC2B2AE3D)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    return BUCKETS + (h >> np.uint32(20)).astype(np.int64)
+
+
+def _streams(texts: list[str | None], words: HashCache) -> Iterator[tuple[list[int], list[np.ndarray], list[np.ndarray]]]:
+    """(numbers of the texts, the codes of their words, of their runs) by chunks of texts."""
+    held, w, r, n = [], [], [], 0
     for i, text in enumerate(texts):
-        code = tokens.of((text or "").split()).astype(np.int64)
         held.append(i)
-        codes += [code, np.array([-1])]
-        n += len(code)
-        if n >= CHUNK or i == len(texts) - 1:
-            yield held, np.concatenate(codes)
-            held, codes, n = [], [], 0
+        w.append(word_codes(text or "", words))
+        r.append(run_codes(text) if text else np.zeros(0, np.int64))
+        n += len(r[-1])
+        if n >= CHUNK:
+            yield held, w, r
+            held, w, r, n = [], [], [], 0
+    if held:
+        yield held, w, r
 
 
-def _split(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """bucket, shape (a repeat of the word before is its own shape), and where a word stands."""
-    real = codes >= 0
-    bucket, shape = codes % BUCKETS, codes // BUCKETS
-    again = np.zeros(len(codes), bool)
-    again[1:] = real[1:] & (codes[1:] == codes[:-1])
-    shape = np.where(again, REPEAT, shape)
-    return bucket, shape, real
+def _joined(parts: list[np.ndarray], gap: int) -> np.ndarray:
+    """One array with ``gap`` times -1 behind each part, so that texts do not meet."""
+    wall = np.full(gap, -1, np.int64)
+    return np.concatenate([x for part in parts for x in (part, wall)])
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
-    """The table of word vectors over all of ``docs`` (text)."""
-    rows = BUCKETS + SHAPES
+    """The table of vectors over all of ``docs`` (text)."""
+    rows = 2 * BUCKETS
     index = index_vectors()
     places = np.stack([np.flatnonzero(v) for v in index])
     signs = np.take_along_axis(index, places, 1)
 
     def count(batches):
-        tokens, total, seen = Tokens(), np.zeros((rows, DIM)), np.zeros(rows)
+        words, total, seen = HashCache(), np.zeros(rows * DIM), np.zeros(rows)
+
+        def meet(a, b):
+            for k in range(NONZERO):
+                total[:] += np.bincount(a * DIM + places[b, k], signs[b, k], rows * DIM)
+
         for batch in batches:
-            for _, codes in _streams(batch.column(0).to_pylist(), tokens):
-                bucket, shape, real = _split(codes)
-                for ids in (bucket, BUCKETS + shape):
-                    seen += np.bincount(ids[real], minlength=rows)[:rows]
-                pair = real[1:] & real[:-1]
-                left, right = bucket[:-1][pair], bucket[1:][pair]
-                shapes = BUCKETS + shape[:-1][pair]
-                for a, b in ((left, right), (right, left), (shapes, right)):
-                    flat = (a[:, None] * DIM + places[b]).ravel()
-                    total += np.bincount(flat, signs[b].ravel(), rows * DIM).reshape(rows, DIM)
+            for _, w, r in _streams(batch.column(0).to_pylist(), words):
+                w, r = _joined(w, 1), _joined(r, 3)
+                for codes in (w, r):
+                    seen += np.bincount(codes[codes >= 0], minlength=rows)
+                real = (w[1:] >= 0) & (w[:-1] >= 0)
+                left, right = w[:-1][real], w[1:][real]
+                meet(left, right)
+                meet(right, left)
+                real = (r[3:] >= 0) & (r[:-3] >= 0)
+                meet(r[:-3][real], r[3:][real])
         met = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(seen[met]), pa.array(list(total[met].astype(np.float32)), pa.list_(pa.float32()))], ["id", "n", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(seen[met]), pa.array(list(total.reshape(rows, DIM)[met].astype(np.float32)), pa.list_(pa.float32()))], ["id", "n", "v"])
 
     def add(batches):
         total, seen = {}, {}
@@ -128,29 +127,37 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
     schema = "id long, n double, v array<float>"
     sums = docs.select("text").mapInArrow(count, schema).repartition("id").mapInArrow(add, schema)
-    out = index.astype(np.float64)
-    for row in sums.collect():  # at most BUCKETS + SHAPES rows
+    out, share = index.astype(np.float64), np.zeros(rows)
+    for row in sums.collect():  # at most 2 * BUCKETS rows
         out[row["id"]] += np.array(row["v"]) / max(row["n"], 1.0)
+        share[row["id"]] = row["n"]
+    for part in (slice(0, BUCKETS), slice(BUCKETS, rows)):
+        out[part] -= share[part] @ out[part] / max(share[part].sum(), 1.0)
     return out.astype(np.float32)
 
 
-def features(texts: list[str | None], vectors: np.ndarray, tokens: Tokens) -> np.ndarray:
-    """Pooled vectors of words and of shapes, and a few counts, for each text."""
-    out = np.zeros((len(texts), 2 * DIM + EXTRAS), np.float32)
-    for held, codes in _streams(texts, tokens):
-        bucket, shape, real = _split(codes)
-        ends = np.flatnonzero(~real)
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        n = np.maximum(ends - starts, 1)[:, None].astype(np.float32)
-        # counts by text and word, times the vectors: cheaper than adding up a vector a word
-        doc = np.repeat(np.arange(len(held)), ends - starts)
-        words = np.bincount(doc * BUCKETS + bucket[real], minlength=len(held) * BUCKETS).reshape(-1, BUCKETS)
-        shapes = np.bincount(doc * SHAPES + shape[real], minlength=len(held) * SHAPES).reshape(-1, SHAPES) / n
-        out[held, :DIM] = words.astype(np.float32) @ vectors[:BUCKETS] / n
-        out[held, DIM : 2 * DIM] = shapes @ vectors[BUCKETS:]
-        out[held, 2 * DIM : 2 * DIM + 5] = shapes[:, [1, 2, 3, 5, REPEAT]]
-        out[held, -1] = np.log1p(ends - starts) / 10
-    return out
+class Pool:
+    """texts -> the mean vectors of the words, runs and pairs of each."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.vectors, self.index, self.words = vectors, index_vectors()[:BUCKETS], HashCache()
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        out = np.zeros((len(texts), WIDTH), np.float32)
+        for held, *streams in _streams(texts, self.words):
+            for k, parts in enumerate(streams):
+                n = np.array([len(x) for x in parts])
+                # counts by text and bucket, times the vectors: cheaper than adding up a vector a word
+                flat = np.repeat(np.arange(len(held)) * BUCKETS - k * BUCKETS, n) + np.concatenate(parts)
+                counts = np.bincount(flat, minlength=len(held) * BUCKETS).reshape(-1, BUCKETS).astype(np.float32)
+                out[held, k * DIM : (k + 1) * DIM] = counts @ self.vectors[k * BUCKETS : (k + 1) * BUCKETS] / (n + PRIOR[k])[:, None]
+            for i, w in zip(held, streams[0], strict=True):
+                pairs = np.zeros(DIM, np.float32)
+                for at in range(0, len(w) - 1, CHUNK // 8):
+                    part = self.index[w[at : at + CHUNK // 8 + 1]]
+                    pairs += np.einsum("nd,nd->d", part[:-1], part[1:])
+                out[i, 2 * DIM :] = pairs / (max(len(w) - 1, 0) + PRIOR[2])
+        return out
 
 
 class Network:
@@ -173,7 +180,7 @@ class Network:
             hid = np.tanh(a @ p[0] + p[1])
             err = (1 / (1 + np.exp(-np.clip(hid @ p[2] + p[3], -30, 30))) - want) / len(pick)
             back = np.outer(err, p[2]) * (1 - hid**2)
-            for k, g in enumerate([a.T @ back + 1e-4 * p[0], back.sum(0), hid.T @ err + 1e-4 * p[2], err.sum(keepdims=True)]):
+            for k, g in enumerate([a.T @ back + DECAY * p[0], back.sum(0), hid.T @ err + DECAY * p[2], err.sum(keepdims=True)]):
                 m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
                 p[k] = p[k] - 0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
         self.layers, self.temperature = p, 1.0
@@ -210,14 +217,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[np.
     sample = docs.join(F.broadcast(labelled_sample(labels, label, TRAIN_ROWS)), "doc_id").select("text", F.col("y").cast("long"))
 
     def pooled(batches):
-        tokens = Tokens()
+        pool = Pool(vectors)
         for batch in batches:
-            x = features(batch.column(0).to_pylist(), vectors, tokens)
+            x = pool(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float32())), batch.column(1)], ["x", "y"])
 
     rows = sample.mapInArrow(pooled, "x array<float>, y long").toArrow()  # at most about TRAIN_ROWS rows
-    width = 2 * DIM + EXTRAS
-    x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if rows.num_rows else np.zeros((0, width), np.float32)
+    x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH) if rows.num_rows else np.zeros((0, WIDTH), np.float32)
     y = rows.column("y").to_numpy()
     order = np.lexsort((*x.T[:8], y))  # the same fit in whatever order rows arrive
     return vectors, Network().fit(x[order].astype(np.float64), y[order])
@@ -227,17 +233,15 @@ def with_score(docs: DataFrame, model: tuple[np.ndarray, Network], text: str = "
     """``docs`` with a column ``score``."""
     vectors, network = model
     tune(docs.sparkSession)
-    names = docs.columns
-    at = names.index(text)
+    docs = set_aside(docs, [score])
+    names, at = docs.columns, docs.columns.index(text)
 
     def rate(batches):
-        tokens = Tokens()
+        pool = Pool(vectors)
         for batch in batches:
-            s = network.score(features(batch.column(at).to_pylist(), vectors, tokens).astype(np.float64)) if batch.num_rows else np.zeros(0)
+            s = network.score(pool(batch.column(at).to_pylist()).astype(np.float64)) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*names, score])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     return docs.mapInArrow(rate, StructType([*docs.schema.fields, StructField(score, DoubleType())]))
 
 

@@ -35,6 +35,18 @@ def test_quality_held_out(spark, small):
     assert out.score.between(0, 1).all() and (out.predicted == (out.score >= 0.5)).all()
 
 
+def test_quality_comes_from_the_vectors(spark, small):
+    """Each block alone tells most texts apart; the network has no other input."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    vectors = quality_model.word_vectors(docs)
+    data = docs.join(spark.read.parquet(f"{small}/labels.parquet"), "doc_id").withColumn("held", quality_model.held_out(3, 1)).toPandas()
+    x, y, held = quality_model.Pool(vectors)(data.text.tolist()).astype(float), data.quality.to_numpy(), data.held.to_numpy()
+    assert x.shape[1] == quality_model.WIDTH == 3 * quality_model.DIM
+    for block, least in ((slice(None), 0.97), (slice(0, 64), 0.85), (slice(64, 128), 0.97)):
+        net = quality_model.Network().fit(x[~held][:, block], y[~held])
+        assert auc(net.score(x[held][:, block]), y[held]) > least
+
+
 def test_toxicity_held_out(spark, small):
     out = toxicity.query(spark, small).join(spark.read.parquet(f"{small}/labels.parquet"), "doc_id").filter("held_out").toPandas()
     assert auc(out.score.to_numpy(), out.toxic.to_numpy()) > 0.75
