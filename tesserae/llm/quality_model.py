@@ -73,7 +73,7 @@ def _streams(texts: list[str | None], words: HashCache) -> Iterator[tuple[list[i
     for i, text in enumerate(texts):
         held.append(i)
         w.append(word_codes(text or "", words))
-        r.append(run_codes(text) if text else np.zeros(0, np.int64))
+        r.append(run_codes(text) if len(w[-1]) else np.zeros(0, np.int64))  # a blank text has no run
         n += len(r[-1])
         if n >= CHUNK:
             yield held, w, r
