@@ -7,6 +7,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.runtime import cut, cut_any
+
 #: The six ASCII blanks that separate words.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
@@ -32,6 +34,45 @@ def set_aside(docs: DataFrame, names: list[str]) -> DataFrame:
     return docs
 
 
+#: Heavy keys are those with more than this share of the rows; so there are at most 2,000.
+HEAVY = 1 / 2000
+UPPER = 2**62 - 1
+
+
+def with_place(docs: DataFrame, place: str = "__p") -> DataFrame:
+    """``docs`` (doc_id, text) with a long that tells its texts apart and orders them: the
+    doc_id, if only one text has it. Null ids, and the further texts of a shared id (those
+    beyond the one of the least hash), have a place by 62 bits of a hash of id and text, in
+    the upper half of the positive numbers. Equal rows share their place."""
+    t = F.xxhash64("text")
+    upper = lambda h: F.lit(2**63 - 1) - h.bitwiseAND(F.lit(UPPER))
+    own = F.when(F.col("doc_id").isNull(), upper(t))
+    ids = docs.groupBy(F.col("doc_id").cast("long").alias("__d")).agg(F.count("*").alias("__n")).filter("__d is not null and __n > 1").select("__d")
+    ids, some = cut_any(ids, "shared-ids")
+    if not some:
+        return docs.withColumn(place, own.otherwise(F.col("doc_id").cast("long")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("__d"), t.alias("__t")).join(ids, "__d").groupBy("__d").agg(F.min("__t").alias("__low"), F.max("__t").alias("__high"))
+    texts = cut(texts.filter("__low <> __high").select("__d", "__low"), "shared-texts")
+    joined = docs.join(texts, docs["doc_id"].cast("long") == texts["__d"], "left")
+    further = F.col("__low").isNotNull() & (t != F.col("__low"))
+    return joined.withColumn(place, own.when(further, upper(F.xxhash64("doc_id", "text"))).otherwise(F.col("doc_id").cast("long"))).drop("__d", "__low")
+
+
+def as_row(docs: DataFrame) -> DataFrame:
+    """doc_id, text and __row, which holds all columns, so that names of columns cannot clash
+    with those an operator adds; ``select("__row.*")`` gives the rows back."""
+    return docs.select(F.col("doc_id"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+
+
+def join_skewed(rows: DataFrame, side: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` joined with ``side``, one row a key that knows how many rows have it: keys with
+    more than ``HEAVY`` of the ``total`` are few, so they are broadcast and their rows stay
+    where they are; all others shuffle."""
+    heavy = F.broadcast(side.filter(F.col(count) > total * HEAVY))
+    light = side.filter(F.col(count) <= total * HEAVY)
+    return rows.join(heavy, keys).unionByName(rows.join(F.broadcast(side.filter(F.col(count) > total * HEAVY).select(*keys)), keys, "left_anti").join(light, keys))
+
+
 class HashCache(dict):
     """word -> 64-bit hash, emptied when it holds ``limit`` words, so memory is bounded."""
 

@@ -1,8 +1,9 @@
 """Line dedup: a deletion-neighbourhood join within one edit, the earliest line stays.
 
 A line is compared by its normal form: lower case, runs of blanks as one. Two lines
-match if they are equal or, with ``MIN_CHARS`` characters, one edit apart. A line goes
-if it matches an earlier line (by doc_id, hash of the text, line number), dropped or not.
+match if they are equal or, from ``min_chars`` characters on (0: all), one edit apart. A
+line goes if it matches an earlier line (by place of the text, line number), dropped or
+not; the place is the doc_id, see ``with_place`` for null and shared ids.
 
 Neighbourhood: for a line x and a length L of |x| or |x| + 1, a variant is what stands
 before and after a hole at a fixed place of a line of length L. Two lines one edit apart
@@ -13,10 +14,13 @@ emit every one-character hole. Variants equal at that width are one edit apart,
 earliest line of each is a minimum and no pairs are listed; the edit distance of every
 line to the earliest it met is then verified.
 
+Variants are emitted once a distinct line, and lines that hold much of all rows meet
+their verdict by a broadcast, so a line that stands everywhere is never gathered.
+
 Null or empty text has no line; blank lines are never compared nor dropped. Equal rows
-of one doc_id are one text; other texts of it are compared like those of other ids. Null
-doc_id comes last, and equal texts of it are different documents, of which one stays. An
-empty table gives an empty result.
+of one doc_id are one text; other texts of it are compared like those of other ids.
+Equal texts of null ids are different documents, of which one stays. Other columns are
+kept, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,12 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import finish
-from tesserae.runtime import cut, tune
+from tesserae.llm.common import as_row, finish, join_skewed, with_place
+from tesserae.runtime import cut, cut_any, tune
 
+#: Shorter lines must be equal: one edit in a few words makes another line of them.
 MIN_CHARS = 20
 FINE = 64
-LAST = 2**63 - 1
 U = np.uint64
 
 
@@ -69,37 +73,37 @@ def variants(x: str, holes: int) -> np.ndarray:
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
-LINE = "o long, t long, line int, h1 long, h2 long, again boolean, keys array<long>"
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with __o (doc_id, the largest long for null) and __t (hash of the text): the
-    place of a text among all."""
-    return docs.withColumn("__o", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__t", F.xxhash64("text"))
+WIDE = ["k1", "k2", "k3", "k4"]
+LINE = "p long, line int, of int, h1 long, h2 long, again boolean, " + ", ".join(f"{k} long" for k in WIDE)
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """Every line with a word: its digest, whether its text had it before, wide variants."""
-    tune(docs.sparkSession)
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+def lines(placed: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """__p, text -> every line with a word: how many its text has, its digest, whether its
+    text had it before, wide variants."""
+    tune(placed.sparkSession)
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 4)
+    names = ["p", "line", "of", "h1", "h2", "again", *WIDE]
 
     def split(batches):
         for batch in batches:
             cols: list[list] = [[] for _ in kinds]
-            for o, t, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for p, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 first: set[bytes] = set()
-                for i, line in enumerate((text or "").split("\n")):
-                    if not (x := normal(line)):
-                        continue
+                found = [(i, x) for i, line in enumerate((text or "").split("\n")) if (x := normal(line))]
+                for i, x in found:
                     d = xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass"))
                     again = d in first
                     first.add(d)
-                    row = (o, t, i, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), again, half_variants(x) if len(x) >= MIN_CHARS and not again else [])
+                    wide = half_variants(x) if len(x) >= min_chars and not again else [None] * 4
+                    row = (p, i, len(found), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), again, *wide)
                     for col, v in zip(cols, row, strict=True):
                         col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["o", "t", "line", "h1", "h2", "again", "keys"])
+                if len(cols[0]) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+                    cols = [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    return _keyed(docs).select("__o", "__t", "text").mapInArrow(split, LINE)
+    return placed.select("__p", "text").mapInArrow(split, LINE)
 
 
 def _meeting(rows: DataFrame) -> DataFrame:
@@ -118,37 +122,37 @@ def _expand(texts: DataFrame, holes: int) -> DataFrame:
     return texts.select("h1", "x").mapInArrow(emit, "h1 long, key long")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h1, o, t, line, x: the normal form of the lines in ``wanted`` (o, t, line, h1)."""
-    per = wanted.groupBy(F.col("o").alias("__o"), F.col("t").alias("__t")).agg(F.collect_list(F.struct("line", "h1")).alias("__w"))
-    keyed = _keyed(docs.select("doc_id", "text")).join(per, ["__o", "__t"])
+def _texts(placed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """h1, p, line, x: the normal form of the lines in ``wanted`` (p, line, h1)."""
+    per = wanted.groupBy(F.col("p").alias("__p")).agg(F.collect_list(F.struct("line", "h1")).alias("__w"))
+    held = placed.select("__p", "text").join(per, "__p")
 
     def pick(batches):
         for batch in batches:
             out = []
-            for o, t, text, want in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for p, text, want in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 parts = (text or "").split("\n")
                 for w in want:
                     if w["line"] < len(parts) and (x := normal(parts[w["line"]])):
                         d = xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass"))
                         if int.from_bytes(d[:8], "big", signed=True) == w["h1"]:
-                            out.append((w["h1"], o, t, w["line"], x))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()))], ["h1", "o", "t", "line", "x"])
+                            out.append((w["h1"], p, w["line"], x))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.string()))], ["h1", "p", "line", "x"])
 
-    return keyed.select("__o", "__t", "text", "__w").mapInArrow(pick, "h1 long, o long, t long, line int, x string")
+    return held.select("__p", "text", "__w").mapInArrow(pick, "h1 long, p long, line int, x string")
 
 
-def near_lines(docs: DataFrame, every: DataFrame, first: DataFrame) -> DataFrame:
+def near_lines(placed: DataFrame, distinct: DataFrame) -> DataFrame:
     """h1 of the lines that have an earlier line one edit away."""
-    wide = _meeting(every.filter(F.size("keys") > 0).select("h1", F.explode("keys").alias("key")))
-    held = every.filter(~F.col("again")).join(wide, "h1", "left_semi")
-    held = held.join(first, ["h1", "h2"]).filter(F.struct("o", "t") == F.col("first")).groupBy("o", "t", "h1").agg(F.min("line").alias("line"))
-    texts = cut(_texts(docs, held).dropDuplicates(["h1"]), "line-texts")
+    wide = _meeting(distinct.filter("k1 is not null").select("h1", F.explode(F.array(*WIDE)).alias("key")))
+    held = distinct.join(wide, "h1", "left_semi").select(F.col("first").alias("p"), "line", "h1")
+    texts = cut(_texts(placed, held).dropDuplicates(["h1"]), "line-texts")
     close = texts.join(_meeting(_expand(texts, FINE)), "h1", "left_semi")
     close = cut(close, "line-close")
-    place = F.struct("o", "t", "line", "h1")
-    single = _expand(close, 0).join(close.select("h1", "o", "t", "line"), "h1")
+    place = F.struct("p", "line", "h1")
+    single = _expand(close, 0).join(close.select("h1", "p", "line"), "h1")
     best = single.groupBy("key").agg(F.min(place).alias("e"), F.count("*").alias("n")).filter("n > 1").select("key", "e")
+    # lines that share a variant differ in one character, so they are no more than there are characters
     met = single.join(best, "key").filter(F.col("e") < place)
     met = met.groupBy("h1").agg(F.min("e").alias("e")).select("h1", F.col("e.h1").alias("other"))
     x = close.select("h1", "x")
@@ -156,30 +160,34 @@ def near_lines(docs: DataFrame, every: DataFrame, first: DataFrame) -> DataFrame
     return pairs.filter(F.levenshtein("x", "y", 1) >= 0).select("h1")
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
-    """o (doc_id, or the largest long for null), t (hash of the text), line, gone, near."""
-    every = cut(lines(docs), "lines")
-    first = every.groupBy("h1", "h2").agg(F.min(F.struct("o", "t")).alias("first"))
-    near = cut(near_lines(docs, every, first), "line-near").withColumn("near", F.lit(True))
-    same = every.select("o", "t", "line", "h1", "h2", "again").join(first, ["h1", "h2"]).join(near, "h1", "left")
-    gone = F.col("again") | (F.struct("o", "t") > F.col("first")) | F.col("near").isNotNull()
-    return same.select("o", "t", "line", gone.alias("gone"), (F.col("near").isNotNull()).alias("near"))
-
-
-def _per_text(docs: DataFrame) -> DataFrame:
-    """__o, __t, n_lines, n_near, dropped of every text with a line."""
-    all_lines = dropped_lines(docs).groupBy("o", "t", "line").agg(F.max("gone").alias("gone"), F.max("near").alias("near"))
-    return all_lines.groupBy(F.col("o").alias("__o"), F.col("t").alias("__t")).agg(
-        F.count("*").alias("n_lines"), F.count_if("near").alias("n_near"),
-        F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("line")))).alias("dropped"),
+def _per_text(placed: DataFrame, min_chars: int) -> DataFrame:
+    """__p, n_lines, n_near, dropped of every text with a line."""
+    every = cut(lines(placed, min_chars), "lines")
+    by_line = every.groupBy("h1", "h2").agg(
+        F.min("p").alias("first"), F.count("*").alias("n"), F.min_by("line", F.when(~F.col("again"), F.col("p"))).alias("line"), *[F.min(k).alias(k) for k in WIDE]
+    )
+    distinct = cut(by_line, "line-distinct")
+    near = cut(near_lines(placed, distinct).distinct(), "line-near").withColumn("near", F.lit(True))
+    # lines that stand once and are near to none stay: nothing else is asked about them
+    verdict = distinct.select("h1", "h2", "first", "n").join(near, "h1", "left").filter("n > 1 or near")
+    verdict = cut(verdict.withColumn("near", F.coalesce("near", F.lit(False))), "line-verdicts")
+    total = every.count()
+    found = join_skewed(every.select("p", "line", "h1", "h2", "again"), verdict, ["h1", "h2"], "n", total)
+    gone = F.col("again") | (F.col("p") > F.col("first")) | F.col("near")
+    some = found.filter(gone).groupBy("p").agg(
+        F.sort_array(F.collect_set("line")).alias("dropped"), F.size(F.collect_set(F.when(F.col("near"), F.col("line")))).alias("n_near")
     )
+    sizes = every.groupBy(F.col("p").alias("__p")).agg(F.max("of").alias("n_lines"))
+    joined = sizes.join(some, F.col("p") == F.col("__p"), "left")
+    return joined.select("__p", "n_lines", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, n_lines (with a word), n_near, dropped (line numbers): one row a text with
     lines, and one a doc_id that has none."""
-    ids = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "__o", "__t").distinct()
-    found = cut(ids.join(_per_text(docs), ["__o", "__t"], "left").drop("__t"), "line-report")
+    placed = with_place(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    found = placed.select("doc_id", "__p").distinct().join(_per_text(placed, min_chars), "__p", "left")
+    found = cut(found, "line-report")
     some = found.filter("n_lines is not null")
     bare = found.filter("n_lines is null").dropDuplicates(["doc_id"])
     bare = bare.join(some.select(F.col("doc_id").alias("__d")), F.col("doc_id").eqNullSafe(F.col("__d")), "left_anti")
@@ -189,22 +197,26 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` without the lines that repeat; a document that loses all of its lines goes."""
     names = docs.columns
-    per = cut(_per_text(docs), "line-dropped")
-    gone = per.filter(F.size("dropped") > 0).select("__o", "__t", F.col("n_lines").alias("__n"), F.col("dropped").alias("__gone"))
-    joined = _keyed(docs).join(gone, ["__o", "__t"], "left").filter("__gone is null or size(__gone) < __n")
+    placed = with_place(as_row(docs))
+    per = cut(_per_text(placed, min_chars), "line-dropped")
+    gone = per.filter(F.size("dropped") > 0).select("__p", F.col("n_lines").alias("__n"), F.col("dropped").alias("__gone"))
+    joined = placed.join(gone, "__p", "left").filter("__gone is null or size(__gone) < __n")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    out = joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
+    row = F.col("__row").withField("text", kept)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        row = row.withField("n_chars", F.length(kept).cast(docs.schema["n_chars"].dataType))
+    out = joined.select("doc_id", "__p", F.when(F.col("__gone").isNull(), F.col("__row")).otherwise(row).alias("__row"))
     # equal texts of null ids that still have lines: the least row stays
-    again = _keyed(docs.filter("doc_id is null").select("doc_id", "text")).groupBy("__o", "__t").agg(F.count("*").alias("n")).filter("n > 1")
-    again = cut(again.join(per.select("__o", "__t"), ["__o", "__t"], "left_semi").select("__t"), "line-again")
-    alone = out.join(again, (out["__t"] == again["__t"]) & out["doc_id"].isNull(), "left_anti").select(*names)
-    several = out.filter("doc_id is null").join(again, "__t", "left_semi")
-    return alone.unionByName(several.groupBy("__t").agg(F.min(F.struct(*names)).alias("__row")).select("__row.*"))
+    again = placed.filter("doc_id is null").groupBy("__p").agg(F.count("*").alias("n")).filter("n > 1")
+    again, some = cut_any(again.join(per.select("__p"), "__p", "left_semi").select("__p"), "line-again")
+    if not some:
+        return out.select("__row.*")
+    alone = out.join(again, "__p", "left_anti")
+    several = out.filter("doc_id is null").join(again, "__p", "left_semi")
+    return alone.select("__row.*").unionByName(several.groupBy("__p").agg(F.min("__row").alias("__row")).select("__row.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
