@@ -2,14 +2,15 @@
 
 A chunk ends where the gear hash of the last 32 bytes has its top bits zero, so an
 insertion moves no boundary beyond its own chunk. A chunk is a repeat if its digest
-stands in an earlier document (by doc_id) or earlier in its own. Repeats that follow
-each other make one span; a span is removed if it has ``MIN_WORDS`` words, so common
-short lines stay.
+stands in an earlier text (by place: the doc_id, see ``with_place`` for null and shared
+ids) or earlier in its own. Repeats that follow each other make one span; a span is
+removed if it has ``min_words`` words or ``min_bytes`` bytes (for text without blanks),
+or if it is the whole text; so common short lines stay.
 
 The earliest holder of a digest is a minimum and is aggregated before the shuffle; no
-group of equal chunks is ever brought together. Null doc_id comes after every other
-one. Rows with the same doc_id are one document. Null or empty text has no chunk. An
-empty table gives an empty result.
+group of equal chunks is ever brought together. Equal rows of one id, or of the null id,
+are one text. Null or empty text has no chunk. Other columns are kept, whatever their
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import as_row, with_place
 from tesserae.runtime import cut, tune
 
 #: A boundary needs BITS zero bits: chunks of about MIN_BYTES + 2 ** BITS bytes.
 BITS, MIN_BYTES, MAX_BYTES = 5, 24, 1024
-MIN_WORDS = 20
-LAST = 2**63 - 1
-CHUNK = "doc_id long, seq int, start int, length int, words int, d1 long, d2 long, again boolean"
+MIN_WORDS, SPAN_BYTES = 20, 400
+CHUNK = "p long, seq int, start int, length int, words int, d1 long, d2 long, again boolean, last boolean"
 
 
 def gear_table() -> np.ndarray:
@@ -63,15 +64,15 @@ def boundaries(raw: bytes, gear: np.ndarray) -> list[int]:
     return ends
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, text -> the chunks of each text, by their bytes in UTF-8."""
-    tune(docs.sparkSession)
+def chunks(placed: DataFrame) -> DataFrame:
+    """__p, text -> the chunks of each text, by their bytes in UTF-8."""
+    tune(placed.sparkSession)
 
     def split(batches):
         gear = gear_table()
         for batch in batches:
-            cols: list[list] = [[] for _ in range(8)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            cols: list[list] = [[] for _ in range(9)]
+            for p, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 ends = boundaries(raw, gear)
                 if not ends:
@@ -85,39 +86,56 @@ def chunks(docs: DataFrame) -> DataFrame:
                 both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 first: set[bytes] = set()
                 again = [d in first or first.add(d) for d in digests]
-                for col, values in zip(cols, ([doc_id] * len(ends), range(len(ends)), edges[:-1].tolist(), np.diff(edges).tolist(), np.diff(words[edges]).tolist(), both[:, 0].tolist(), both[:, 1].tolist(), map(bool, again)), strict=True):
+                for col, values in zip(cols, ([p] * len(ends), range(len(ends)), edges[:-1].tolist(), np.diff(edges).tolist(), np.diff(words[edges]).tolist(), both[:, 0].tolist(), both[:, 1].tolist(), map(bool, again), [False] * (len(ends) - 1) + [True]), strict=True):
                     col.extend(values)
                 if len(cols[0]) > 50_000:
                     yield pack(cols)
-                    cols = [[] for _ in range(8)]
+                    cols = [[] for _ in range(9)]
             yield pack(cols)
 
     def pack(cols):
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "seq", "start", "length", "words", "d1", "d2", "again"])
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["p", "seq", "start", "length", "words", "d1", "d2", "again", "last"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(split, CHUNK)
+    return placed.select("__p", "text").mapInArrow(split, CHUNK)
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, start, length (bytes), words, first_doc of each span to remove."""
-    all_chunks = cut(chunks(docs), "substring-chunks").withColumn("__o", F.coalesce("doc_id", F.lit(LAST)))
-    held = all_chunks.groupBy("d1", "d2").agg(F.min("__o").alias("__first"), F.max("__o").alias("__last"))
-    held = held.filter(F.col("__first") < F.col("__last")).select("d1", "d2", "__first")
-    joined = all_chunks.join(held, ["d1", "d2"], "left")
-    repeats = joined.filter(F.col("again") | (F.col("__o") > F.col("__first"))).select("__o", "seq", "start", "length", "words", F.coalesce("__first", "__o").alias("__first"))
+def _spans(placed: DataFrame, min_words: int, min_bytes: int) -> DataFrame:
+    """p, start, length (bytes), words, first (place of the earliest holder) of each span."""
+    every = cut(chunks(placed), "substring-chunks")
+    held = every.groupBy("d1", "d2").agg(F.min("p").alias("first"), F.max("p").alias("last_p"))
+    held = held.filter("first < last_p").select("d1", "d2", "first")
+    joined = every.join(held, ["d1", "d2"], "left")
+    repeats = joined.filter(F.col("again") | (F.col("p") > F.col("first")))
+    # equal rows of one place give each chunk twice
+    repeats = repeats.groupBy("p", "seq", "start", "length", "words", "last").agg(F.min(F.coalesce("first", "p")).alias("first"))
     # consecutive numbers less their rank are one island
-    repeats = repeats.groupBy("__o", "seq", "start", "length").agg(F.max("words").alias("words"), F.min("__first").alias("__first"))
-    spans = repeats.withColumn("__g", F.col("seq") - F.row_number().over(Window.partitionBy("__o").orderBy("seq", "start", "length")))
-    spans = spans.groupBy("__o", "__g").agg(F.min("start").alias("start"), F.sum("length").cast("int").alias("length"), F.sum("words").cast("int").alias("words"), F.min("__first").alias("first_doc"))
-    return spans.filter(F.col("words") >= min_words).select(F.when(F.col("__o") != LAST, F.col("__o")).alias("doc_id"), "start", "length", "words", "first_doc")
+    spans = repeats.withColumn("__g", F.col("seq") - F.row_number().over(Window.partitionBy("p").orderBy("seq")))
+    spans = spans.groupBy("p", "__g").agg(
+        F.min("start").alias("start"), F.sum("length").cast("int").alias("length"), F.sum("words").cast("int").alias("words"), F.min("first").alias("first"), F.max("last").alias("last")
+    )
+    whole = (F.col("start") == 0) & F.col("last")
+    return spans.filter((F.col("words") >= min_words) | (F.col("length") >= min_bytes) | whole).select("p", "start", "length", "words", "first")
+
+
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, min_bytes: int = SPAN_BYTES) -> DataFrame:
+    """doc_id, text_hash, start, length (bytes), words, first_doc, first_hash of each span to
+    remove; the hash tells apart the texts of one id."""
+    placed = with_place(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    spans = cut(_spans(placed, min_words, min_bytes), "substring-spans")
+    names = placed.select("__p", "doc_id", F.xxhash64("text").alias("text_hash")).distinct()
+    met = names.join(spans.select(F.col("p").alias("__p")).unionByName(spans.select(F.col("first").alias("__p"))).distinct(), "__p", "left_semi")
+    met = cut(met, "substring-names")
+    own = spans.join(met.withColumnRenamed("__p", "p"), "p")
+    first = met.select(F.col("__p").alias("first"), F.col("doc_id").alias("first_doc"), F.col("text_hash").alias("first_hash"))
+    return own.join(first, "first").select("doc_id", "text_hash", "start", "length", "words", "first_doc", "first_hash")
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with the spans cut out of their texts."""
-    names = docs.columns
-    per = spans.groupBy(F.col("doc_id").alias("__d")).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("__s"))
-    joined = docs.join(per, docs["doc_id"].eqNullSafe(per["__d"]), "left").drop("__d")
+    """``docs`` with the spans cut out of the texts that they were found in."""
+    per = spans.groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("__s"))
+    held = as_row(docs)
+    joined = held.join(per, held["doc_id"].cast("long").eqNullSafe(per["__d"]) & (F.xxhash64(held["text"]) == per["__t"]), "left")
     raw = F.col("text").cast("binary")
     kept = F.aggregate(
         "__s",
@@ -126,18 +144,21 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
         lambda a: F.array_append(a["parts"], F.substring(raw, a["at"] + 1, F.octet_length(raw))),
     )
     # bytes that a cut inside a character leaves are dropped by the decoder
-    text = F.when(F.col("__s").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda b: F.call_function("try_validate_utf8", b.cast("string"))), ""))
-    return joined.withColumn("text", text).select(*names)
-
-
-def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row a document: doc_id, n_bytes, removed_bytes, removed_words, spans."""
-    base = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long").alias("n_bytes"))
+    text = F.array_join(F.transform(kept, lambda b: F.call_function("try_validate_utf8", b.cast("string"))), "")
+    return joined.select(F.when(F.col("__s").isNull(), F.col("__row")).otherwise(F.col("__row").withField("text", text)).alias("__row")).select("__row.*")
+
+
+def report(docs: DataFrame, min_words: int = MIN_WORDS, min_bytes: int = SPAN_BYTES) -> DataFrame:
+    """One row a text of each id: doc_id, n_bytes, removed_bytes, removed_words, n_spans, spans."""
+    placed = with_place(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    base = placed.groupBy("__p").agg(F.min("doc_id").alias("doc_id"), F.max(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long").alias("n_bytes"))
+    spans = cut(_spans(placed, min_words, min_bytes), "substring-spans")
+    # a holder's id is its place, but for null and shared ids
+    other = placed.filter(~F.col("doc_id").eqNullSafe(F.col("__p"))).select(F.col("__p").alias("__f"), F.col("doc_id").alias("__id"), F.lit(True).alias("__met")).dropDuplicates(["__f"])
+    spans = spans.join(other, F.col("first") == F.col("__f"), "left").withColumn("first_doc", F.when(F.col("__met"), F.col("__id")).otherwise(F.col("first")))
     span = F.struct("start", "length", "words", "first_doc")
-    per = repeated_spans(docs, min_words).groupBy(F.col("doc_id").alias("__d")).agg(
-        F.sum("length").alias("removed"), F.sum("words").alias("words"), F.sort_array(F.collect_list(span)).alias("spans")
-    )
-    joined = base.join(per, base["doc_id"].eqNullSafe(per["__d"]), "left")
+    per = spans.groupBy("p").agg(F.sum("length").alias("removed"), F.sum("words").alias("words"), F.sort_array(F.collect_list(span)).alias("spans"))
+    joined = base.join(per, F.col("__p") == F.col("p"), "left")
     return joined.select(
         "doc_id", "n_bytes", F.coalesce("removed", F.lit(0)).cast("long").alias("removed_bytes"),
         F.coalesce("words", F.lit(0)).cast("long").alias("removed_words"), F.coalesce(F.size("spans"), F.lit(0)).alias("n_spans"), "spans",

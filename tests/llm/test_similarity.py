@@ -221,8 +221,36 @@ def test_substring_matches_brute_force(spark):
     assert got == want
 
 
+def test_substring_spans_stay_in_their_text(spark):
+    """Null ids and an id of two texts: spans of one text never cut another one."""
+    rng = random.Random(12)
+    own = [" ".join(words(rng, 60)) for _ in range(9)]
+    passage = " ".join(words(rng, 80))
+    data = [[1, f"{own[0]} {passage}"], [None, f"{own[1]} {passage} {own[2]}"], [None, own[3]], [5, own[4]], [5, f"{passage} {own[5]}"], [5, own[6]], [7, own[7]], [7, own[7]], [None, None], [8, own[7]]]
+    docs = frame(spark, [[*r, "en", "s", 0] for r in data]).withColumnRenamed("lang", "__p").withColumnRenamed("source", "__s")
+    clean = sd.remove_spans(docs, sd.repeated_spans(docs.select("doc_id", "text")))
+    assert clean.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in clean.collect()]
+    whole = [(1, data[0][1]), (None, own[3]), (5, own[4]), (5, own[6]), (7, own[7]), (7, own[7]), (None, None), (8, "")]
+    assert len(got) == len(data) and all(r in got for r in whole)
+    cut = [t for i, t in got if t and (i, t) not in whole]
+    assert len(cut) == 2 and all(len(t) < len(passage) * 2.6 for t in cut)
+    assert any(t.startswith(own[1][:300]) and t.endswith(own[2][-300:]) for t in cut) and any(t.endswith(own[5][-300:]) for t in cut)
+    by = sorted((str(r["doc_id"]), r["removed_bytes"] > 400, [s["first_doc"] for s in r["spans"] or []]) for r in sd.report(docs).collect())
+    assert [x for x in by if x[1]] == [("5", True, [1]), ("8", True, [7]), ("None", True, [1])]
+
+
+def test_substring_without_blanks(spark):
+    rng = random.Random(13)
+    blob = "".join(rng.choice("abcdefghijklmnop") for _ in range(3000))
+    got = {r["doc_id"]: r["removed_bytes"] for r in sd.report(frame(spark, [[1, blob, "", "", 0], [2, "x" + blob, "", "", 0], [3, "short one", "", "", 0], [4, "short one", "", "", 0]])).collect()}
+    assert got[1] == got[3] == 0 and got[2] > 2800 and got[4] == 9
+
+
 def test_substring_edges(spark):
-    out = {r["doc_id"]: r["removed_bytes"] for r in sd.report(frame(spark, edge_rows())).collect()}
-    assert set(out) == {r[0] for r in edge_rows()} and out[0] == 0
+    out = sd.report(frame(spark, edge_rows())).collect()
+    short = [r for r in out if r["n_bytes"] == 13]  # 4 has it twice, the null id once more
+    assert sorted((r["doc_id"] is None, r["removed_bytes"]) for r in short) == [(False, 0), (True, 13)]
+    assert {r["doc_id"] for r in out} == {r[0] for r in edge_rows()} and [r["removed_bytes"] for r in out if r["doc_id"] == 0] == [0]
     assert sd.report(frame(spark, [])).count() == 0
     assert DOCS
