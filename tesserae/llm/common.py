@@ -64,13 +64,13 @@ def as_row(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
 
 
-def join_skewed(rows: DataFrame, side: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+def join_skewed(rows: DataFrame, side: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``side``, one row a key that knows how many rows have it: keys with
     more than ``HEAVY`` of the ``total`` are few, so they are broadcast and their rows stay
-    where they are; all others shuffle."""
-    heavy = F.broadcast(side.filter(F.col(count) > total * HEAVY))
-    light = side.filter(F.col(count) <= total * HEAVY)
-    return rows.join(heavy, keys).unionByName(rows.join(F.broadcast(side.filter(F.col(count) > total * HEAVY).select(*keys)), keys, "left_anti").join(light, keys))
+    where they are; all others shuffle. ``how`` may also be left."""
+    heavy = side.filter(F.col(count) > total * HEAVY)
+    others = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(side.filter(F.col(count) <= total * HEAVY), keys, how)
+    return rows.join(F.broadcast(heavy), keys).unionByName(others)
 
 
 class HashCache(dict):

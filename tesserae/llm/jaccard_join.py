@@ -30,12 +30,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import HashCache, odd_numbers, shingles
+from tesserae.llm.common import HashCache, as_row, join_skewed, odd_numbers, shingles
 from tesserae.runtime import cut, discard, tune
 
 WIDTH, SIMILARITY = 5, 0.8
 TOKENS, DEPTH, RECALL = 64, 3, 0.9999
-RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - SIMILARITY**DEPTH))
+
+
+def missed(runs: int, similarity: float = SIMILARITY) -> float:
+    """How likely no run of ``runs`` puts two texts of that similarity on one whole path."""
+    same = [math.comb(TOKENS, m) * similarity**m * (1 - similarity) ** (TOKENS - m) for m in range(TOKENS + 1)]
+    return sum(p * (1 - math.comb(m, DEPTH) / math.comb(TOKENS, DEPTH)) ** runs for m, p in enumerate(same))
+
+
+def runs_for(recall: float) -> int:
+    return next(n for n in range(1, 1000) if missed(n) <= 1 - recall)
+
+
+RUNS = runs_for(RECALL)
 SMALL, BLOCK = 64, 256
 LAST = 2**63 - 1
 #: A pair at the threshold has at least this share of equal tokens but for 4.5 standard deviations.
@@ -108,12 +120,12 @@ def embed(docs: DataFrame) -> DataFrame:
 
 def leaf_buckets(reps: DataFrame) -> DataFrame:
     """rep, run, key, n: the buckets where each text ends, those of one text left out."""
-    rows = reps.select("rep", F.posexplode("paths").alias("run", "p")).select("rep", "run", "p.*")
+    rows, total = reps.select("rep", F.posexplode("paths").alias("run", "p")).select("rep", "run", "p.*"), reps.count() * RUNS
     leaves = []
     for d in range(1, DEPTH + 1):
         key = f"k{d}"
         sizes = rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
-        rows = cut(rows.join(sizes, key), f"jaccard-level{d}")
+        rows = cut(join_skewed(rows, sizes, [key], "n", total), f"jaccard-level{d}")
         done = rows if d == DEPTH else rows.filter(F.col("n") <= SMALL)
         leaves.append(done.select("rep", "run", F.col(key).alias("key"), "n"))
         rows = rows.filter(F.col("n") > SMALL).drop("n")
@@ -255,13 +267,13 @@ def verified(rows: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """a, b -> node, comp (its least node) by alternating large and small stars."""
 
-    def stars(e: DataFrame, small: bool) -> DataFrame:
+    def stars(e: DataFrame, small: bool, total: int) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
         back = e.select(F.col("b").alias("u"), F.col("a").alias("v"))
         near = both.unionByName(back).filter("u <> v")
         near = near.filter("v < u") if small else near
-        low = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        joined = near.join(low, "u")
+        low = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "u"))
+        joined = join_skewed(near, low, ["u"], "n", total)  # a hub has an edge to each text like it
         moved = joined.filter("v <> m") if small else joined.filter("v > u")
         out = moved.select(F.col("v").alias("a"), F.col("m").alias("b"))
         if small:
@@ -274,8 +286,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
     state = mark(now)
     while True:
-        large = cut(stars(now, False), "stars")
-        after = cut(stars(large, True), "stars")
+        large = cut(stars(now, False, 2 * state[0]), "stars")
+        after = cut(stars(large, True, 2 * state[0]), "stars")
         discard(now)
         discard(large)
         now, told = after, mark(after)
@@ -291,7 +303,8 @@ def _classes(docs: DataFrame) -> DataFrame:
     classes = embedded.filter("size > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("name"), F.min(F.struct("o", "t")).alias("h"), F.count("*").alias("copies"))
     classes = cut(classes.select("d1", "d2", F.col("d1").alias("rep"), "name", F.col("h.o").alias("ho"), F.col("h.t").alias("ht"), "copies"), "jaccard-classes")
     # one row stands for its class, and its text is read for it
-    reps = embedded.join(classes, ["d1", "d2"]).filter("o = ho and t = ht")
+    own = classes.withColumn("o", F.col("ho")).withColumn("t", F.col("ht"))
+    reps = embedded.join(own, ["d1", "d2", "o", "t"])
     reps = cut(reps.select("rep", "ho", "ht", "copies", "size", "sketch", "paths").dropDuplicates(["rep"]), "jaccard-texts")
     leaves = cut(leaf_buckets(reps), "jaccard-leaves")
     by_run = [F.coalesce(F.max(F.when(F.col("run") == r, F.col("key"))), F.lit(0)) for r in range(RUNS)]
@@ -310,7 +323,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     names = classes.join(comps, F.col("rep") == F.col("node")).groupBy("comp").agg(F.min("name").alias("least"))
     comps = comps.join(names, "comp")
     links = met.groupBy(F.col("rep").alias("r")).agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))
-    member = embedded.select("doc_id", "o", "t", "d1", "d2").join(classes, ["d1", "d2"], "left")
+    member = join_skewed(embedded.select("doc_id", "o", "t", "d1", "d2"), classes, ["d1", "d2"], "copies", embedded.count(), "left")
     out = member.join(links, F.col("rep") == F.col("r"), "left").join(comps, F.col("rep") == F.col("node"), "left")
     return out.select(
         "doc_id", "o", "t", F.coalesce("comp", "rep").alias("comp"), F.coalesce("least", "name", "doc_id").alias("class_id"),
@@ -328,14 +341,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: of the least doc_id, null last, then of the least
     hash of the text, then the least row. Texts without words have no class and stay."""
     keys = cut(_classes(docs).filter("comp is not null").groupBy("comp", "o", "t").agg(F.count("*").alias("n")), "jaccard-keys")
-    lead = keys.groupBy("comp").agg(F.min(F.struct("o", "t")).alias("lead"))
+    lead = keys.groupBy("comp").agg(F.min(F.struct("o", "t")).alias("lead"), F.count("*").alias("texts"))
     # what goes, and what stays but stands in several rows
-    odd = keys.join(lead, "comp").withColumn("gone", F.struct("o", "t") != F.col("lead")).filter("gone or n > 1")
+    odd = join_skewed(keys, lead, ["comp"], "texts", keys.count()).withColumn("gone", F.struct("o", "t") != F.col("lead")).filter("gone or n > 1")
     odd = cut(odd.select(F.col("o").alias("__o"), F.col("t").alias("__t"), "gone"), "jaccard-odd")
-    keyed = docs.withColumn("__o", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__t", F.xxhash64("text"))
-    alone = keyed.join(odd, ["__o", "__t"], "left_anti").select(*docs.columns)
+    keyed = as_row(docs).withColumn("__o", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__t", F.xxhash64("text"))
+    alone = keyed.join(odd, ["__o", "__t"], "left_anti").select("__row.*")
     several = keyed.join(odd.filter("not gone"), ["__o", "__t"], "left_semi")
-    return alone.unionByName(several.groupBy("__o", "__t").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*"))
+    return alone.unionByName(several.groupBy("__o", "__t").agg(F.min("__row").alias("__row")).select("__row.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from tesserae.llm import jaccard_join as jj
 from tesserae.llm import line_dedup as ld
 from tesserae.llm import substring_dedup as sd
+from tesserae.llm.common import join_skewed
 from tests.llm.helpers import DOCS, edge_rows, frame, rows, words
 
 
@@ -91,6 +92,28 @@ def test_keep_one_decides_text_by_text(spark):
     assert links == sorted([(2, 0)] * 3 + [(1, 0)] * 2 + [(2, 0)] * 3 + [(1, 1)] * 2 + [(1, 0)] * 2 + [(0, 0)] * 2)
 
 
+def test_runs_reach_the_recall():
+    assert jj.missed(jj.RUNS) <= 1 - jj.RECALL < jj.missed(jj.RUNS - 1)
+    rng = np.random.default_rng(2)
+    e = jj.Embedding()
+    lost = 0
+    for _ in range(4000):
+        a, b = rng.integers(0, 1000, jj.TOKENS).astype(np.uint64), rng.integers(1000, 2000, jj.TOKENS).astype(np.uint64)
+        same = rng.random(jj.TOKENS) < jj.SIMILARITY
+        b[same] = a[same]
+        lost += not (e.paths(a)[:, -1] == e.paths(b)[:, -1]).any()
+    assert lost <= 3
+
+
+def test_heavy_keys_join_as_others(spark):
+    left = spark.createDataFrame([(i % 7 if i % 3 else 100, i) for i in range(900)], "k long, i long")
+    side = spark.createDataFrame([(k, sum((i % 7 if i % 3 else 100) == k for i in range(900))) for k in (0, 1, 2, 100)], "k long, n long")
+    for total in (0, 10**5, 10**6, 10**9):
+        for how in ("inner", "left"):
+            got = sorted(map(tuple, join_skewed(left, side, ["k"], "n", total, how).collect()), key=str)
+            assert got == sorted(map(tuple, left.join(side, "k", how).collect()), key=str)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = dict(jj.components(edges).collect())
