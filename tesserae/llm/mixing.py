@@ -8,9 +8,13 @@ epochs and, of one more, the prefix of a seeded order that fits what is left.
 
 Shares are found in closed form: in the order of capacity over weight the children
 that fill up come first, so running sums show who is full. Only tables of nodes go
-through those windows. The prefix of a leaf is found by sums over ranges of the
-seeded hash, then by a window over the one range where the budget ends; no leaf is
-ever ordered in a single task. Only built-in functions are used.
+through those windows. The prefix of a leaf is found by sums over ranges of the seeded
+hash, coarse ones, then those inside the one where the budget ends, then by a window over
+the documents of the last range; no leaf is ever ordered in a single task. Only built-in
+functions are used.
+
+The tree is a list of levels from the root down: a name, the column that tells a
+document's node, and whole weights of at least 1 by name (1 if not listed).
 
 Null lang or source is the leaf 'unknown'. Documents without words are never taken.
 Ties of the hash go by doc_id, then tokens; rows that repeat are taken on their own.
@@ -19,10 +23,12 @@ An empty table, or a budget of 0, gives an empty result.
 
 from __future__ import annotations
 
+from collections import namedtuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import blank_words
+from tesserae.llm.common import blank_words, join_skewed
 from tesserae.runtime import cut
 
 #: Weights in whole parts; names that are not listed weigh 1.
@@ -30,8 +36,9 @@ DOMAIN_WEIGHTS = {"web": 5, "books": 3, "forum": 2}
 LANG_WEIGHTS = {"en": 6, "de": 2, "fr": 1, "es": 1}
 SHARE, MAX_EPOCHS, SEED = (1, 2), 3, 17
 #: Documents that one hash range of a leaf holds on average.
-RANGE_DOCS = 4096
-LEVELS = ("domain", "lang", "source")
+RANGE_DOCS = 256
+
+Level = namedtuple("Level", "name of weights")
 
 
 def domain_of(source: Column) -> Column:
@@ -39,20 +46,25 @@ def domain_of(source: Column) -> Column:
     return F.when(source == "src0", "web").when(source.rlike("^src[1-9]$"), "books").otherwise("forum")
 
 
+def default_levels() -> list[Level]:
+    source = F.coalesce(F.col("source"), F.lit("unknown"))
+    return [Level("domain", domain_of(source), DOMAIN_WEIGHTS), Level("lang", F.coalesce("lang", F.lit("unknown")), LANG_WEIGHTS), Level("source", source, {})]
+
+
 def _weight(name: Column, table: dict[str, int]) -> Column:
+    if any(w < 1 or w != int(w) for w in table.values()):
+        raise ValueError("weights are whole numbers from 1 on")
     out = F.lit(1)
     for key, value in table.items():
         out = F.when(name == key, value).otherwise(out)
     return out.cast("bigint")
 
 
-def leaves(docs: DataFrame) -> DataFrame:
-    """doc_id, domain, lang, source, n_tokens of every document with a word."""
-    source = F.coalesce(F.col("source"), F.lit("unknown"))
-    return docs.select(
-        "doc_id", domain_of(source).alias("domain"), F.coalesce("lang", F.lit("unknown")).alias("lang"), source.alias("source"),
-        F.size(blank_words(F.col("text"))).cast("bigint").alias("n_tokens"),
-    ).filter("n_tokens > 0")
+def leaves(docs: DataFrame, levels: list[Level] | None = None) -> DataFrame:
+    """doc_id, the name of each level, n_tokens of every document with a word."""
+    levels = levels or default_levels()
+    tokens = F.size(blank_words(F.col("text"))).cast("bigint")
+    return docs.select("doc_id", *[v.of.alias(v.name) for v in levels], tokens.alias("n_tokens")).filter("n_tokens > 0")
 
 
 def share_out(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
@@ -68,45 +80,63 @@ def share_out(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     return left.withColumn("budget", budget.cast("bigint")).drop("__before", "__rest", "__full", "__taken", "__open")
 
 
-def budgets(docs: DataFrame, share=SHARE, total_tokens: int | None = None, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """domain, lang, source, supply, docs, budget of every leaf."""
-    leaf = docs.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply"), F.count("*").alias("docs"))
-    leaf = leaf.withColumn("cap", F.col("supply") * max_epochs)
-    lang = leaf.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"))
-    domain = lang.groupBy("domain").agg(F.sum("cap").alias("cap"))
+def budgets(base: DataFrame, levels: list[Level] | None = None, share=SHARE, total_tokens: int | None = None, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The names of every leaf, supply, docs, budget; base: as ``leaves`` gives it."""
+    levels = levels or default_levels()
+    names = [v.name for v in levels]
+    leaf = base.groupBy(*names).agg(F.sum("n_tokens").alias("supply"), F.count("*").alias("docs")).withColumn("cap", F.col("supply") * max_epochs)
+    tables = [leaf]
+    for k in range(len(names) - 1, 0, -1):
+        tables.insert(0, tables[0].groupBy(*names[:k]).agg(F.sum("cap").alias("cap")))
     wanted = F.lit(total_tokens).cast("bigint") if total_tokens is not None else F.expr(f"(__cap div {max_epochs}) * {share[0]} div {share[1]}")
-    root = domain.agg(F.sum("cap").alias("__cap")).select(F.least("__cap", wanted).alias("parent_budget"))
-    first = share_out(domain.crossJoin(F.broadcast(root)).withColumn("weight", _weight(F.col("domain"), DOMAIN_WEIGHTS)), [], "domain")  # root: one row
-    second = lang.join(first.select("domain", F.col("budget").alias("parent_budget")), "domain").withColumn("weight", _weight(F.col("lang"), LANG_WEIGHTS))
-    second = share_out(second, ["domain"], "lang")
-    third = leaf.join(second.select("domain", "lang", F.col("budget").alias("parent_budget")), ["domain", "lang"]).withColumn("weight", F.lit(1).cast("bigint"))
-    return share_out(third, ["domain", "lang"], "source").select(*LEVELS, "supply", "docs", "budget")
-
-
-def mix(docs: DataFrame, share=SHARE, total_tokens: int | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """doc_id, domain, lang, source, epoch (from 1), n_tokens of what the mixture takes."""
-    base = cut(leaves(docs), "mixing-tokens")
+    root = tables[0].agg(F.sum("cap").alias("__cap")).select(F.least("__cap", wanted).alias("parent_budget"))
+    out = None
+    for k, (level, nodes) in enumerate(zip(levels, tables, strict=True)):
+        if out is None:
+            nodes = nodes.crossJoin(F.broadcast(root))  # one row
+        else:
+            nodes = nodes.join(out.select(*names[:k], F.col("budget").alias("parent_budget")), names[:k])
+        out = share_out(nodes.withColumn("weight", _weight(F.col(level.name), level.weights)), names[:k], level.name)
+    return out.select(*names, "supply", "docs", "budget")
+
+
+def _narrow(part: DataFrame, names: list[str], digits: str) -> tuple[DataFrame, DataFrame]:
+    """part: names, rest, digits, __h, n_tokens -> the rows of the hash ranges of that many
+    digits that the rest pays for, and those of the range where it ends, with what is left."""
+    part = part.withColumn("__r", F.expr(f"left(__h, {digits})"))
+    run = Window.partitionBy(*names).orderBy("__r").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = part.groupBy(*names, "__r", "rest").agg(F.sum("n_tokens").alias("__t")).withColumn("__to", F.sum("__t").over(run))
+    ranges = ranges.withColumn("__from", F.col("__to") - F.col("__t")).filter("__from <= rest").select(*names, "__r", "__from", "__to")
+    near = part.join(ranges, [*names, "__r"]).drop("__r")
+    left = near.filter("__to > rest").withColumn("rest", F.col("rest") - F.col("__from"))
+    return near.filter("__to <= rest").drop("__from", "__to"), left.drop("__from", "__to")
+
+
+def mix(docs: DataFrame, share=SHARE, total_tokens: int | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED, levels: list[Level] | None = None) -> DataFrame:
+    """doc_id, the name of each level, epoch (from 1), n_tokens of what the mixture takes."""
+    levels = levels or default_levels()
+    names = [v.name for v in levels]
+    base = cut(leaves(docs, levels), "mixing-tokens")
     plan = cut(
-        budgets(base, share, total_tokens, max_epochs)
+        budgets(base, levels, share, total_tokens, max_epochs)
         .withColumn("full", F.expr("budget div supply"))
         .withColumn("rest", F.col("budget") - F.col("full") * F.col("supply"))
         .withColumn("digits", F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("docs") / RANGE_DOCS))).cast("int"))
-        .select(*LEVELS, "full", "rest", "digits"),
+        .select(*names, "full", "rest", "digits", "docs"),
         "mixing-plan",
     )
-    joined = base.join(plan, list(LEVELS))
-    whole = joined.filter("full > 0").select("doc_id", *LEVELS, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("full"))).alias("epoch"), "n_tokens")
+    joined = join_skewed(base, plan, names, "docs", base.count())
+    whole = joined.filter("full > 0").select("doc_id", *names, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("full"))).alias("epoch"), "n_tokens")
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("full") + 1).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    part = joined.filter("rest > 0").withColumn("__h", order).withColumn("__r", F.expr("left(__h, digits)"))
-    keys = [*LEVELS, "__r"]
-    run = Window.partitionBy(*LEVELS).orderBy("__r").rowsBetween(Window.unboundedPreceding, 0)
-    ranges = part.groupBy(*keys, "rest").agg(F.sum("n_tokens").alias("__t")).withColumn("__to", F.sum("__t").over(run))
-    ranges = ranges.withColumn("__from", F.col("__to") - F.col("__t")).filter("__from <= rest").select(*keys, "__from", "__to")
-    near = part.join(ranges, keys)
-    inside = Window.partitionBy(*LEVELS).orderBy("__h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    last = near.filter("__to > rest").withColumn("__c", F.col("__from") + F.sum("n_tokens").over(inside)).filter("__c <= rest")
-    out = ["doc_id", *LEVELS, (F.col("full") + 1).alias("epoch"), "n_tokens"]
-    return whole.unionByName(near.filter("__to <= rest").select(*out)).unionByName(last.select(*out))
+    part = joined.filter("rest > 0").withColumn("__h", order)
+    first, part = _narrow(part, names, "(digits + 1) div 2")
+    second, part = _narrow(part, names, "digits")
+    inside = Window.partitionBy(*names).orderBy("__h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    last = part.withColumn("__c", F.sum("n_tokens").over(inside)).filter("__c <= rest")
+    out = ["doc_id", *names, (F.col("full") + 1).alias("epoch"), "n_tokens"]
+    for taken in (first, second, last):
+        whole = whole.unionByName(taken.select(*out))
+    return whole
 
 
 def query(spark, sf_dir: str) -> DataFrame:
