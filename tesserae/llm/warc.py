@@ -1,15 +1,19 @@
 """WARC archives: a writer with one gzip member a record, and a sequential reader.
 
-Archives go to the shared folder through its own file system, so any executor can
-read what another one wrote. A part is written under a name of its attempt and then
-moved to its final name, so a task that runs twice leaves one whole part.
+Archives go to the shared folder through its own file system (a URI other than of files
+is opened by pyarrow with its own credentials), so any executor can read what another one
+wrote. A part has the attempt of its task in its name, and the manifest, which Spark
+commits once a task, says which parts count: a task that runs twice leaves parts behind
+that nobody reads.
 
 The reader inflates member by member in blocks of 64 KiB, takes the block by its
-Content-Length, and compares the digest of the payload with the header's. A record
-whose digest differs is reported with verified = false; a cut-off member raises.
+Content-Length, and compares the digest of the payload with the header's, the number of
+records with the manifest's. A difference or a cut-off member raises; ``strict=False``
+reports records of another digest with verified = false instead.
 
 Of pages with equal payloads that with the largest page_id is the response and the
-others revisit it; rows that repeat that page_id are responses too. Null html is an
+others revisit it; payloads that much of all pages share are found by a broadcast of their
+digests, so these pages are not gathered; rows that repeat that page_id are responses too. Null html is an
 empty payload, null url an empty target, null page_id is below every other one. An
 empty table writes no record and gives an empty result.
 """
@@ -27,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import join_skewed
 from tesserae.runtime import cut, shared_dir, tune
 
 BLOCK = 1 << 16
@@ -99,8 +104,9 @@ def write_archives(pages: DataFrame) -> DataFrame:
     base = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     rows = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("__d", F.sha1("payload"))
-    again = rows.groupBy("__d").agg(F.max("page_id").alias("__keep"), F.count("*").alias("__n")).filter("__n > 1").select("__d", "__keep")
-    rows = rows.join(again, "__d", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("__keep")), F.col("__keep")).alias("refers_to"))
+    again = rows.groupBy("__d").agg(F.max("page_id").alias("__keep"), F.count("*").alias("__n")).filter("__n > 1")
+    rows = join_skewed(rows, cut(again, "warc-copies"), ["__d"], "__n", pages.count(), "left")
+    rows = rows.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("__keep")), F.col("__keep")).alias("refers_to"))
 
     def write(batches):
         from pyspark import TaskContext
@@ -112,15 +118,13 @@ def write_archives(pages: DataFrame) -> DataFrame:
 
         def close():
             out.close()
-            system.move(temp, final)
-            done.append((f"{base}/{final.rsplit('/', 1)[-1]}", records, size))
+            done.append((f"{base}/{name}", records, size))
 
         for batch in batches:
             for page_id, url, payload, refers in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if out is None:
-                    final = f"{root}/part-{task.partitionId():06d}-{part:04d}.warc.gz"
-                    temp, records, size = f"{final}.{task.taskAttemptId()}", 0, 0
-                    out = system.open_output_stream(temp, compression=None)
+                    name, records, size = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{part:04d}.warc.gz", 0, 0
+                    out = system.open_output_stream(f"{root}/{name}", compression=None)
                     part += 1
                 data = encode_record(page_id, url, payload, refers)
                 out.write(data)
@@ -135,33 +139,38 @@ def write_archives(pages: DataFrame) -> DataFrame:
     return cut(rows.mapInArrow(write, MANIFEST), "warc-manifest")
 
 
-def read_archives(manifest: DataFrame) -> DataFrame:
+def read_archives(manifest: DataFrame, strict: bool = True) -> DataFrame:
     """Every record of the archives of a manifest, in the columns of ``RECORD``."""
 
     def read(batches):
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("verified", pa.bool_())])
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 system, name = _file_system(path)
-                rows = []
+                rows, met = [], 0
                 with system.open_input_stream(name, compression=None) as stream:
                     for head, block in iter_records(stream):
                         payload = block[block.index(b"\r\n\r\n") + 4 :]
                         told = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                        whole = head["WARC-Type"] == "response"
+                        whole, met = head["WARC-Type"] == "response", met + 1
+                        good = digest32(block) == head["WARC-Block-Digest"].removeprefix("sha1:") and (not whole or digest32(payload) == told)
+                        if strict and not good:
+                            raise ValueError(f"record {met} of {path} differs from its digest")
                         refers = re.sub(r"[^-0-9]", "", head.get("WARC-Refers-To", "").rpartition(":")[2])
                         rows.append((
                             int(head["X-Page-ID"]) if head["X-Page-ID"] else None, head["WARC-Target-URI"],
                             len(payload) if whole else int(head["X-Payload-Length"]), digest32(payload) if whole else told,
                             head["WARC-Type"], int(refers) if refers else None,
-                            digest32(block) == head["WARC-Block-Digest"].removeprefix("sha1:") and (not whole or digest32(payload) == told),
+                            good,
                         ))
                         if len(rows) >= 1000:
                             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
                             rows = []
+                if met != records:
+                    raise ValueError(f"{path} has {met} records, not {records}")
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
 
-    paths = manifest.select("path")
+    paths = manifest.select("path", "records")
     return paths.repartition(max(1, min(paths.count(), 20_000))).mapInArrow(read, RECORD)
 
 
