@@ -1,14 +1,15 @@
 """Benchmark decontamination: scan the word windows of documents against the windows of
 a benchmark, verify each hit word by word, and report or remove what was hit.
 
-The windows of the benchmark are broadcast if a count shows that they fit
-``BROADCAST_WINDOWS``; beyond that the same join shuffles. Only built-in functions are
+The windows of the benchmark are broadcast if their summed bytes fit
+``BROADCAST_BYTES``; beyond that the same join shuffles. Only built-in functions are
 used. The scan looks up a hash of the first three words of each window; a hit counts
 only if all words of the window are equal.
 
-doc_id with the text identifies a row: rows that repeat get equal results. Null text
-has no words and is clean. Items without words have no window. An empty benchmark
-leaves every document clean.
+doc_id with the text identifies a row: rows that repeat get equal results, and the texts
+of null or shared ids are told apart. Null text has no words and is clean. Items without
+words have no window. An empty benchmark leaves every document clean. Other columns are
+kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,10 +19,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import as_row
+from tesserae.runtime import cut
+
 WIDTH = 10
 ANCHOR = 3
-#: At about 200 bytes a window this is some 100 MB in each executor.
-BROADCAST_WINDOWS = 500_000
+#: Most bytes of windows (words, items that have them, 64 a row) that each executor gets.
+BROADCAST_BYTES = 100 << 20
 #: What stands between words.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,18 +53,16 @@ def benchmark_windows(items: DataFrame, item_id: str = "item_id", text: str = "t
 
 def find_hits(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs has __key, __w; a row for each occurrence: __key, pos (from 0), n, items."""
-    windows = benchmark_windows(items, width=width).persist()
-    try:
-        sizes = {r["k"]: r["c"] for r in windows.groupBy(F.least("n", F.lit(ANCHOR)).alias("k")).agg(F.count("*").alias("c")).collect()}  # at most three rows
-        total = sum(sizes.values())
-    finally:
-        windows.unpersist()
+    windows = cut(benchmark_windows(items, width=width), "benchmark-windows")
+    cost = F.octet_length("body") * 2 + F.aggregate("items", F.lit(64), lambda n, x: n + F.octet_length(x) + 16)
+    sizes = {r["k"]: r["c"] for r in windows.groupBy(F.least("n", F.lit(ANCHOR)).alias("k")).agg(F.sum(cost).alias("c")).collect()}  # at most three rows
+    total = sum(sizes.values())
     found = []
     for k in sorted(sizes):
         side = windows.filter(F.least("n", F.lit(ANCHOR)) == k).select("n", "body", "items", F.xxhash64(*[F.col("g")[i] for i in range(k)]).alias("a"))
         scan = docs.select("__key", "__w", F.posexplode("__w").alias("pos", "word"))
         anchor = F.xxhash64("word", *[F.get("__w", F.col("pos") + i) for i in range(1, k)])
-        if total <= BROADCAST_WINDOWS:
+        if total <= BROADCAST_BYTES:
             side = F.broadcast(side)
             scan = scan.withColumn("__a", anchor)
             whole = F.array_join(F.slice("__w", F.col("pos") + 1, F.col("n")), " ") == F.col("body")
@@ -106,22 +108,40 @@ def report(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     )
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """__row with all columns, doc_id, text and __key, which tells texts apart."""
+    return as_row(docs).withColumn("__key", F.struct(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t")))
+
+
 def remove_documents(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` without those that hold a window of the benchmark; all columns stay."""
-    keyed = docs.withColumn("__k", F.xxhash64("text"))
-    scan = docs.select(F.struct(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t")).alias("__key"), words(F.col("text")).alias("__w"))
+    keyed = _keyed(docs)
+    scan = keyed.select("__key", words(F.col("text")).alias("__w"))
     bad = find_hits(scan, items, width).select(F.col("__key.d").alias("__d"), F.col("__key.t").alias("__t")).distinct()
-    return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["__d"]) & (keyed["__k"] == bad["__t"]), "left_anti").drop("__k")
+    kept = keyed.join(bad, keyed["__key.d"].eqNullSafe(bad["__d"]) & (keyed["__key.t"] == bad["__t"]), "left_anti")
+    return kept.select("__row.*")
+
+
+def _merged(spans: Column) -> Column:
+    """Sorted (pos, n) spans as sorted (pos, end) that neither meet nor touch."""
+    none = F.array().cast("array<struct<pos:int,end:int>>")
+    last = lambda a: F.element_at(a, -1)
+    joined = lambda a, s: F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["pos"].alias("pos"), F.greatest(last(a)["end"], s["pos"] + s["n"]).alias("end"))))
+    more = lambda a, s: F.array_append(a, F.struct(s["pos"].alias("pos"), (s["pos"] + s["n"]).alias("end")))
+    return F.aggregate(spans, none, lambda a, s: F.when((F.size(a) > 0) & (F.get(a, F.size(a) - 1)["end"] >= s["pos"]), joined(a, s)).otherwise(more(a, s)))
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, words: the words of each document outside every hit span, in order."""
-    keyed = docs.select("doc_id", "text")
-    marked = report(keyed, items, width).select(F.col("doc_id").alias("__d"), "spans").dropDuplicates(["__d", "spans"])
-    # spans are merged first, so that the membership test is linear in their number
-    joined = keyed.join(marked, keyed["doc_id"].eqNullSafe(marked["__d"]))
-    inside = lambda i: F.exists("spans", lambda s: (i >= s["pos"]) & (i < s["pos"] + s["n"]))
-    return joined.withColumn("__w", words(F.col("text"))).select("doc_id", F.filter("__w", lambda x, i: ~inside(i)).alias("words"))
+    """doc_id, words: the words of each row outside every hit span, in order. Spans are merged
+    first, and the gaps between them are sliced out, so the work is linear in both."""
+    keyed = _keyed(docs.select("doc_id", "text")).select("doc_id", "__key", words(F.col("text")).alias("__w"))
+    per = find_hits(keyed, items, width).groupBy("__key").agg(F.sort_array(F.collect_set(F.struct("pos", "n"))).alias("__s"))
+    per = per.select(F.col("__key.d").alias("__d"), F.col("__key.t").alias("__t"), _merged(F.col("__s")).alias("__s"))
+    joined = keyed.join(per, keyed["__key.d"].eqNullSafe(per["__d"]) & (keyed["__key.t"] == per["__t"]), "left")
+    from_ = F.concat(F.array(F.lit(0)), F.transform("__s", lambda x: x["end"]))
+    to = F.concat(F.transform("__s", lambda x: x["pos"]), F.array(F.size("__w")))
+    gaps = F.zip_with(from_, to, lambda a, b: F.slice("__w", a + 1, b - a))
+    return joined.select("doc_id", F.when(F.col("__s").isNull(), F.col("__w")).otherwise(F.flatten(gaps)).alias("words"))
 
 
 COLUMNS = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
