@@ -3,7 +3,8 @@
 Every statistic is a built-in expression over the text of its own row, so the
 operator is one scan without a shuffle. Null text has no words. A row is kept if
 no base rule and no rule of the table fails; rows repeat or tie freely, since no
-row looks at another one; an empty table gives an empty result.
+row looks at another one; an empty table gives an empty result. Columns of the input
+that have the name of a result are kept as ``<name>_input``.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import blank_words
+from tesserae.llm.common import blank_words, set_aside
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -31,6 +32,8 @@ RULES = (
 )
 
 WINDOW = 5
+STATISTICS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop"]
+HELPERS = ["__w", "__hw", "__h", "__s", "__lines"]
 
 
 def _statistics(text: str) -> dict[str, Column]:
@@ -49,7 +52,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     Repeated windows are found by sorting the (hash, position) pairs of one text, so a
     text of n words costs n log n. Only texts that do repeat a window are sorted.
     """
-    df = docs.withColumns(_statistics(text))
+    df = set_aside(docs, STATISTICS + HELPERS).withColumns(_statistics(text))
     df = df.withColumn("__hw", F.transform("__w", lambda x: F.xxhash64(x)))
     starts = F.sequence(F.lit(0), F.size("__hw") - WINDOW)
     window = lambda i: F.xxhash64(*[F.col("__hw")[i + k] for k in range(WINDOW)])
@@ -73,7 +76,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
         "n_repeat_words": covered.cast("long"),
         "n_stop": F.size(F.filter("__w", lambda x: x.isin(STOP_WORDS))).cast("long"),
-    }).drop("__w", "__hw", "__h", "__s", "__lines")
+    }).drop(*HELPERS)
 
 
 def _ratio(top: str, bottom: str) -> Column:
@@ -103,7 +106,7 @@ def verdict(rules=RULES) -> Column:
 def quality_rules(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """``docs`` with its statistics, base_failed and kept."""
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return with_statistics(docs, text).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    return with_statistics(set_aside(docs, ["base_failed", "kept"]), text).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
