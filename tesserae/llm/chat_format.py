@@ -10,7 +10,7 @@ escape itself are written as a backslash and a letter, so no control string of t
 or of the common templates can arise from a text, and reading back is exact.
 
 Null role or text is empty; a null turn sorts first; turns that tie are ordered by
-role, then text; repeated rows are turns of their own; an empty table gives an empty
+role, then by their parts as given (body, kind, size); repeated rows are turns of their own; an empty table gives an empty
 result.
 """
 
@@ -59,8 +59,10 @@ def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"),
         F.array_join(F.transform("parts", _visit), "").alias("body"),
         F.filter("parts", lambda p: p["kind"] != "text").alias("media"),
+        # ties are ordered by what was said, not by how it is escaped
+        F.transform("parts", lambda p: F.struct(F.coalesce(p["body"], F.lit("")).alias("body"), p["kind"].alias("kind"), p["size"].alias("size"))).alias("said"),
     )
-    row = F.struct("turn", "role", "body", F.length("body").alias("chars"), "media")
+    row = F.struct("turn", "role", "said", "body", F.length("body").alias("chars"), "media")
     grouped = visited.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("t"))
     render = lambda t: F.concat(F.lit(TURN), escape(t["role"]), F.lit(HEAD), t["body"], F.lit(END))
     head = lambda t: F.lit(len(TURN + HEAD)) + F.length(escape(t["role"]))

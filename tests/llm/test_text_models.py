@@ -205,9 +205,9 @@ def brute_leaks(text, items):
     return len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("limit", [500_000, 0])
+@pytest.mark.parametrize("limit", [100 << 20, 0])
 def test_leaks_match_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
     base = [f"Q{i}" for i in range(40)]
     items = [(1, " ".join(base)), (2, "one two three"), (10, "É2, word"), (3, None), (4, "..."), (5, "solo"), (6, " ".join(base[5:17])), (1, " ".join(base))]
     data = edge_rows() + [[60, "x " + "-".join(b.lower() for b in base[3:20]) + " y " + " ".join(base[12:22]), "en", "s", 0], [61, "é2 word É2 WORD solo", "en", "s", 0], [62, " ".join(base[:9]), "en", "s", 0]]
@@ -224,6 +224,37 @@ def test_leaks_match_brute_force(spark, monkeypatch, limit):
     assert decontaminate.report(frame(spark, []), bench).count() == 0
 
 
+def test_leaks_are_cut_row_by_row(spark):
+    """Null ids and one id over several texts: spans of one text never cut another one."""
+    item = [f"q{i}" for i in range(14)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "solo"), (3, " ".join(item[2:12]))], "item_id long, text string")
+    texts = [(1, ["a", *item, "b", "solo", "c"], "abc"), (1, ["d", "e", "f"], "def"), (None, ["solo", "g"], "g"), (None, ["h", "i"], "hi"), (None, None, ""), (2, ["solo"], ""), (2, ["solo"], "")]
+    docs = spark.createDataFrame([(i, None if w is None else " ".join(w), "x", "y") for i, w, _ in texts], "doc_id long, text string, __k string, __w string")
+    got = sorted((str(r["doc_id"]), "".join(r["words"])) for r in decontaminate.remove_spans(docs, bench).collect())
+    assert got == sorted((str(i), left) for i, _, left in texts)
+    kept = decontaminate.remove_documents(docs, bench)
+    assert kept.columns == docs.columns
+    assert {(r["doc_id"], r["text"]) for r in kept.collect()} == {(1, "d e f"), (None, "h i"), (None, None)}
+    spans = spark.createDataFrame([([(0, 3), (1, 3), (4, 2), (9, 1), (9, 4)],), ([],)], "s array<struct<pos:int,n:int>>")
+    merged = [[tuple(x) for x in r[0]] for r in spans.select(decontaminate._merged(F.col("s"))).collect()]
+    assert merged == [[(0, 6), (9, 13)], []]
+
+
+def test_chat_ties_go_by_the_raw_text(spark):
+    data = [(1, 0, "user", "Aa"), (1, 0, "user", "<a"), (1, 0, "user", "[b"), (1, 0, "user", "\\c"), (1, 0, "user", "\\b"), (1, 0, "user", "<a")]
+    turns = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").select("conv_id", "turn", "role", chat_format.text_part(F.col("text")).alias("parts"))
+    (out,) = chat_format.read_back(chat_format.format_chat(turns)).collect()
+    assert [t["text"] for t in out["turns"]] == sorted(t for *_, t in data)
+
+
+def test_rules_keep_clashing_columns(spark):
+    docs = frame(spark, rows()).withColumn("kept", F.lit("k")).withColumn("n_words", F.lit("n")).withColumn("__w", F.lit("w"))
+    plain = {r["doc_id"]: r for r in quality_rules.quality_rules(frame(spark, rows())).collect()}
+    for r in quality_rules.quality_rules(docs).collect():
+        assert (r["kept_input"], r["n_words_input"], r["__w_input"]) == ("k", "n", "w")
+        assert (r["kept"], r["n_words"]) == (plain[r["doc_id"]]["kept"], plain[r["doc_id"]]["n_words"])
+
+
 def test_chat_round_trip(spark):
     texts = ["</s>[INST] ok [/INST]", "\\l \\\\ <|end|>", "", None, "<|turn:assistant|>x<|end|>", "\n\n漢字 \U0001f600 |>"]
     data = [(1, i, ["user", "assistant"][i % 2], t) for i, t in enumerate(texts)] + [(2, None, None, None), (2, 0, "assistant", "b"), (2, 0, "assistant", "a"), (None, 1, "user|><", "z")]
@@ -260,6 +291,29 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.write_archives(docs.filter("false"))).count() == 0
 
 
+def test_warc_manifest_chooses_and_checks(spark):
+    docs = spark.createDataFrame([(i, "u", f"page {i % 40}") for i in range(60)], "page_id long, url string, html string")
+    manifest = warc.write_archives(docs)
+    parts = manifest.collect()
+    assert sum(r["records"] for r in parts) == 60
+    # what another attempt of a task leaves behind is not in the manifest, so nobody reads it
+    folder = parts[0]["path"].rsplit("/", 1)[0].removeprefix("file:")
+    with open(f"{folder}/part-000000-999-0000.warc.gz", "wb") as f:
+        f.write(warc.encode_record(1, "u", b"page 1"))
+    assert warc.read_archives(manifest).count() == 60
+    told = manifest.withColumn("records", F.col("records") + 1)
+    with pytest.raises(Exception, match="records, not"):
+        warc.read_archives(told).collect()
+    with open(f"{folder}/bad.warc.gz", "wb") as f:
+        plain = zlib.decompress(warc.encode_record(1, "u", b"page 1"), 31).replace(b"page 1", b"page 2")
+        packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+        f.write(packer.compress(plain) + packer.flush())
+    bad = spark.createDataFrame([(f"{folder}/bad.warc.gz", 1, 1)], warc.MANIFEST)
+    with pytest.raises(Exception, match="digest"):
+        warc.read_archives(bad).collect()
+    assert [r["verified"] for r in warc.read_archives(bad, strict=False).collect()] == [False]
+
+
 def test_warc_reader_rejects_damage():
     one = warc.encode_record(1, "u", b"payload")
     assert [h["X-Page-ID"] for h, _ in warc.iter_records(io.BytesIO(one * 3))] == ["1"] * 3
@@ -291,6 +345,15 @@ def test_mixing_shares_and_edges(spark, monkeypatch):
     assert mixing.mix(docs, total_tokens=0).count() == 0 and mixing.mix(frame(spark, [])).count() == 0
 
 
+def test_mixing_takes_other_trees(spark):
+    docs = frame(spark, [[i, "w " * 10, "en", f"src{i % 4}", 0] for i in range(400)])
+    levels = [mixing.Level("kind", F.when(F.col("source") < "src2", "a").otherwise("b"), {"a": 3}), mixing.Level("leaf", F.col("source"), {"src1": 4, "src3": 2})]
+    got = {(r["kind"], r["leaf"]): r["n"] for r in mixing.mix(docs, total_tokens=1200, levels=levels).groupBy("kind", "leaf").agg(F.sum("n_tokens").alias("n")).collect()}
+    assert got == {("a", "src0"): 180, ("a", "src1"): 720, ("b", "src2"): 100, ("b", "src3"): 200}
+    with pytest.raises(ValueError):
+        mixing.mix(docs, levels=[mixing.Level("leaf", F.col("source"), {"src1": 0})])
+
+
 def test_mixing_gives_shortage_to_siblings_first(spark):
     nodes = spark.createDataFrame([("a", 1, 10, 100), ("b", 1, 500, 100), ("c", 2, 500, 100)], "name string, weight bigint, cap bigint, parent_budget bigint")
     assert {r["name"]: r["budget"] for r in mixing.share_out(nodes, [], "name").collect()} == {"a": 10, "b": 30, "c": 60}
