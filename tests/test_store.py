@@ -3,10 +3,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae.operators.namespace import Namespace
 from tesserae.operators.snapshots import SnapshotStore
-from tesserae.operators.store import VersionStore
+from tesserae.operators.store import Folder, Memory, VersionStore
 from tesserae.sources import notebooks
 
 SCHEMA = "k long, v string"
@@ -35,11 +36,12 @@ def test_namespace_tracks_uses():
 def test_commit_writes_active_new_and_connected_names(spark, tmp_path):
     store = VersionStore(spark, str(tmp_path / "store"))
     ns = Namespace({n: (table(spark, (1, n)), "k") for n in "abc"})
-    assert store.commit(ns) == 1
-    at = {r["name"]: (r["piece_tid"], r["piece_id"]) for r in store.namemap(1).collect()}
-    # a and b hang together from version 2 on
-    edge = spark.createDataFrame([(at["a"][1], 1, at["b"][1])], "piece_id long, dep_tid long, dep_id long")
-    store._write("edges", 1, edge)
+    # a and b hang together from version 1 on; ids are hashes of name and key
+    ids = [spark.range(1).select(F.xxhash64(F.lit(n), F.lit(1).cast("long"))).first()[0] for n in "ab"]
+    edge = spark.createDataFrame([(ids[0], 1, ids[1])], "piece_id long, dep_tid long, dep_id long")
+    assert store.save(ns.tables("abc"), edges=edge) == 1
+    assert {r["piece_id"] for r in store.namemap(1).filter("name <> 'c'").collect()} == set(ids)
+    ns.active.clear()
     assert store.commit(ns) == 2  # nothing is active
     assert {r["piece_tid"] for r in store.namemap(2).collect()} == {1}
     ns["a"] = (table(spark, (1, "new")), "k")
@@ -53,6 +55,51 @@ def test_commit_writes_active_new_and_connected_names(spark, tmp_path):
     assert set(many) == {(1, "a"), (3, "a"), (3, "b")} and "new" in many[3, "a"]
 
 
+def rows_of(store, tid, name):
+    return sorted(map(tuple, store.rows(tid, name, SCHEMA).collect()), key=str)
+
+
+@pytest.mark.parametrize("kind", ["folder", "memory"])
+def test_a_failed_save_leaves_nothing(spark, tmp_path, monkeypatch, kind):
+    """Each write fails in turn; the retry loads what it was given, and later ones too."""
+    tables = Folder(spark, str(tmp_path / "store")) if kind == "folder" else Memory(spark)
+    store = VersionStore(spark, tables)
+    store.save({"a": (table(spark, (1, "old")), "k")})
+    edge = spark.createDataFrame([(1, 1, 1)], "piece_id long, dep_tid long, dep_id long")
+    real = store._write
+    for n, broken in enumerate(["pieces", "synonyms", "namemap", "edges", "commit"]):
+        given = {"a": (table(spark, (1, f"new{n}"), (2, "same"), (3, "same")), "k"), "b": (table(spark, (1, f"new{n}")), "k")}
+
+        def fail(name, *args, broken=broken):
+            real(name, *args)
+            if name == broken:
+                raise OSError(broken)
+
+        monkeypatch.setattr(store, "_write", fail)
+        if broken == "commit":
+            monkeypatch.setattr(tables, "commit", lambda *a: (_ for _ in ()).throw(OSError("commit")))
+        with pytest.raises(OSError, match=broken):
+            store.save(given, edges=edge)
+        monkeypatch.undo()
+        assert [r["tid"] for r in store.versions().collect()] == list(range(1, n + 2))
+        tid = store.save(given, edges=edge)
+        assert tid == n + 2 and rows_of(store, tid, "a") == [(1, f"new{n}"), (2, "same"), (3, "same")] and rows_of(store, tid, "b") == [(1, f"new{n}")]
+        assert rows_of(store, 1, "a") == [(1, "old")]
+    # a piece holds its key, so that "same" of 2 and of 3 differ, and a and b share the first
+    assert [r["n_new"] for r in store.read("commits").orderBy("tid").collect()] == [1, 3, 1, 1, 1, 1]
+
+
+def test_two_writers_do_not_share_a_version(spark, tmp_path):
+    one, two = (VersionStore(spark, str(tmp_path / "store")) for _ in range(2))
+    two.next_tid = lambda: 1
+    assert one.save({"a": (table(spark, (1, "x")), "k")}) == 1
+    with pytest.raises(Exception, match="(?i)exist"):
+        two.save({"a": (table(spark, (1, "y")), "k")})
+    del two.next_tid
+    assert two.save({"a": (table(spark, (1, "y")), "k")}) == 2
+    assert rows_of(one, 1, "a") == [(1, "x")] and rows_of(one, 2, "a") == [(1, "y")]
+
+
 def test_dump_is_not_carried_on(spark, tmp_path):
     store = VersionStore(spark, str(tmp_path / "store"))
     store.save({"a": (table(spark, (1, "x")), "k")})
