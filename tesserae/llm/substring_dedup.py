@@ -21,8 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import as_row, with_place
-from tesserae.runtime import cut, tune
+from tesserae.llm.common import as_row, join_skewed, with_place
+from tesserae.runtime import cut, cut_any, tune
 
 #: A boundary needs BITS zero bits: chunks of about MIN_BYTES + 2 ** BITS bytes.
 BITS, MIN_BYTES, MAX_BYTES = 5, 24, 1024
@@ -154,8 +154,12 @@ def report(docs: DataFrame, min_words: int = MIN_WORDS, min_bytes: int = SPAN_BY
     base = placed.groupBy("__p").agg(F.min("doc_id").alias("doc_id"), F.max(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long").alias("n_bytes"))
     spans = cut(_spans(placed, min_words, min_bytes), "substring-spans")
     # a holder's id is its place, but for null and shared ids
-    other = placed.filter(~F.col("doc_id").eqNullSafe(F.col("__p"))).select(F.col("__p").alias("__f"), F.col("doc_id").alias("__id"), F.lit(True).alias("__met")).dropDuplicates(["__f"])
-    spans = spans.join(other, F.col("first") == F.col("__f"), "left").withColumn("first_doc", F.when(F.col("__met"), F.col("__id")).otherwise(F.col("first")))
+    other, some = cut_any(placed.filter(~F.col("doc_id").eqNullSafe(F.col("__p"))).select(F.col("__p").alias("first"), F.col("doc_id").alias("__id")).distinct(), "substring-names")
+    if some:
+        named = cut(spans.groupBy("first").agg(F.count("*").alias("__n")).join(other, "first").withColumn("__met", F.lit(True)), "substring-holders")
+        spans = join_skewed(spans, named, ["first"], "__n", spans.count(), "left").withColumn("first_doc", F.when(F.col("__met"), F.col("__id")).otherwise(F.col("first")))
+    else:
+        spans = spans.withColumn("first_doc", F.col("first"))
     span = F.struct("start", "length", "words", "first_doc")
     per = spans.groupBy("p").agg(F.sum("length").alias("removed"), F.sum("words").alias("words"), F.sort_array(F.collect_list(span)).alias("spans"))
     joined = base.join(per, F.col("__p") == F.col("p"), "left")
