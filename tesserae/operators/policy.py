@@ -53,6 +53,23 @@ def greedy_fold(objects: DataFrame, overhead: float = OVERHEAD) -> DataFrame:
     return folded.select("group_id", F.inline("o"))
 
 
+#: 2 to this power sets of decisions are tried for each group at most.
+MOST_DECISIONS = 16
+
+
+def exhaustive(objects: DataFrame, group: str, n: int, rate: float, overhead: float = OVERHEAD) -> DataFrame:
+    """objects (group, i from 0 to n - 1, size) -> group, decisions, cost: the cheapest set of
+    pieces of their own (bits), where one costs its size times ``rate`` and the overhead. All
+    2 ** n sets are summed by group; ties go to the least number."""
+    if n > MOST_DECISIONS:
+        raise ValueError(f"{n} decisions are more than {MOST_DECISIONS}")
+    sets = objects.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2**n - 1))))
+    alone = F.expr("(k >> cast(i as int)) & 1") == 1
+    cost = sets.groupBy(group, "k").agg(F.sum(F.when(alone, F.col("size") * rate + overhead).otherwise(F.col("size"))).alias("cost"))
+    best = F.min(F.struct(F.round("cost", 4).alias("cost"), F.col("k").cast("bigint").alias("decisions"))).alias("b")
+    return cost.groupBy(group).agg(best).select(group, "b.decisions", "b.cost")
+
+
 def tree_score(trees: list) -> Column:
     """A sum of decision trees as nested conditions. A tree is a number or
     (column, threshold, tree at or below, tree above)."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.runtime import cut
+
 
 def rolling(value: str, by: list[str], order: list[str], width: int, how=F.avg, least: int | None = None) -> Column:
     """A statistic of the last ``width`` rows; null while fewer than ``least`` have a value."""
@@ -69,3 +71,31 @@ def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: st
     a = left.withColumn("__bin", F.floor(F.col(point) / width))
     b = right.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
     return a.join(b, "__bin").filter(F.col(point).between(F.col(low), F.col(high))).drop("__bin")
+
+
+def at_positions(df: DataFrame, order: list[str], first: int, last: int) -> DataFrame:
+    """The rows at positions ``first`` to ``last`` (from 1) of a total order. Positions are
+    found by counts of sorted partitions: only counts, one a partition, go to the driver, and
+    no task gets more than its part of the order."""
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    counted = cut(spread.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)) + 1), "positions")
+    sizes = {r["__part"]: r["n"] for r in counted.groupBy("__part").agg(F.count("*").alias("n")).collect()}
+    wanted, before = F.lit(False), 0
+    for part in sorted(sizes):
+        if before + sizes[part] >= first and before < last:
+            wanted = wanted | ((F.col("__part") == part) & F.col("__at").between(first - before, last - before))
+        before += sizes[part]
+    return counted.filter(wanted).drop("__part", "__at")
+
+
+def sums_above(df: DataFrame, at: str, values: list[str]) -> DataFrame:
+    """``df`` (one row for each ``at``) with ``<value>_above``: each sum over the rows with a larger ``at``. Rows are dealt
+    by ranges of ``at``; the sums of whole ranges, one row each, are added to running sums
+    inside a range, so no task sees more than its range."""
+    ranged = cut(df.repartitionByRange(at).withColumn("__part", F.spark_partition_id()), "ranges")
+    parts = ranged.groupBy("__part").agg(*[F.sum(v).alias(v) for v in values])  # one row a range
+    after = Window.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    later = parts.select("__part", *[F.coalesce(F.sum(v).over(after), F.lit(0)).alias(f"__{v}") for v in values])
+    inside = Window.partitionBy("__part").orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(later), "__part")
+    return out.withColumns({f"{v}_above": F.col(f"__{v}") + F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values}).drop("__part", *[f"__{v}" for v in values])

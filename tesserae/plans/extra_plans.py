@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.plans.registry import plan
+from tesserae.runtime import cut
 
 
 @plan("""SELECT event_id AS oid, NULL::BIGINT AS parent, 'row' AS part, NULL::VARCHAR AS value FROM events
@@ -85,8 +86,9 @@ def logistic_forest_fit(t):
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 
     v = _vectors(t).withColumn("label", (F.col("label") % 2).cast("double"))
-    a = LogisticRegression(maxIter=20).fit(v).transform(v).select("vec_id", "label", F.col("prediction").alias("logistic"))
-    b = RandomForestClassifier(numTrees=10, seed=1).fit(v).transform(v).select("vec_id", F.col("prediction").alias("forest"))
+    # predictions are written, so that no plan holds two fitted models
+    a = cut(LogisticRegression(maxIter=20).fit(v).transform(v).select("vec_id", "label", F.col("prediction").alias("logistic")), "logistic")
+    b = cut(RandomForestClassifier(numTrees=10, seed=1).fit(v).transform(v).select("vec_id", F.col("prediction").alias("forest")), "forest")
     return a.join(b, "vec_id").groupBy("label", "logistic", "forest").agg(F.count("*").alias("n"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.operators import stats as S
+from tesserae.operators import windows as X
 from tesserae.plans.registry import plan
 
 RUNS = """runs AS (SELECT o_orderkey AS id, o_orderpriority AS nb, o_orderstatus AS sut, o_totalprice / 1000 AS s, o_custkey AS b,
@@ -104,9 +105,13 @@ def ecdf(t):
     SELECT w.wait, round(sum(n * (sync + greatest(async - w.wait, 0))) / sum(n), 6) AS delay FROM (SELECT DISTINCT wait FROM d) w, g GROUP BY w.wait""")
 def wait_delay_curve(t):
     d = t.orders.select(*((F.col("o_orderkey") % k).cast("double").alias(c) for c, k in (("wait", 20), ("sync", 13), ("async", 31))))
-    g = d.groupBy("sync", "async").agg(F.count("*").alias("n"))  # distinct values only meet each wait
-    w = d.select("wait").distinct()
-    return w.crossJoin(g).groupBy("wait").agg(r(F.sum(F.col("n") * (F.col("sync") + F.greatest(F.col("async") - F.col("wait"), F.lit(0.0)))) / F.sum("n"), 6).alias("delay"))
+    # sum of max(async - wait, 0) over all rows = sum of async above it less wait times their number
+    at = d.groupBy(F.col("async").alias("x")).agg(F.count("*").alias("n"), F.sum("async").alias("s"))
+    at = at.unionByName(d.select(F.col("wait").alias("x")).distinct().withColumn("asked", F.lit(True)), allowMissingColumns=True)
+    total = d.agg(F.count("*").alias("rows"), F.sum("sync").alias("sync"))  # one row
+    above = X.sums_above(at.groupBy("x").agg(F.max("asked").alias("asked"), F.sum("n").alias("n"), F.sum("s").alias("s")), "x", ["n", "s"])
+    delay = (F.col("sync") + F.coalesce("s_above", F.lit(0.0)) - F.col("x") * F.coalesce("n_above", F.lit(0))) / F.col("rows")
+    return above.filter("asked").crossJoin(F.broadcast(total)).select(F.col("x").alias("wait"), r(delay, 6).alias("delay"))
 
 
 @plan("SELECT r.r_name, s.seg, k.range::BIGINT AS k FROM region r, (SELECT DISTINCT c_mktsegment AS seg FROM customer) s, range(3) k")

@@ -3,6 +3,8 @@ sample deviations, counts that skip nulls, ties broken by a key."""
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -97,9 +99,9 @@ def interpolate_by_group(t):
     return X.interpolate(sparse(t), ["user_id"], "event_id", "v").select("event_id", r(F.col("v_filled"), 6).alias("filled"))
 
 
-@plan("SELECT c_custkey, c_name FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) AS i FROM customer WHERE c_custkey <= 60) WHERE i BETWEEN 11 AND 20")
+@plan("SELECT c_custkey, c_name FROM (SELECT *, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS i FROM customer) WHERE i BETWEEN 101 AND 120")
 def row_position_slice(t):
-    return t.customer.filter("c_custkey <= 60").withColumn("i", F.row_number().over(W.orderBy("c_custkey"))).filter("i between 11 and 20").select("c_custkey", "c_name")
+    return X.at_positions(t.customer, ["c_acctbal", "c_custkey"], 101, 120).select("c_custkey", "c_name")
 
 
 @plan("SELECT 'n' AS key, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o FROM orders")
@@ -177,17 +179,18 @@ def next_event(t):
     return t.events.select("event_id", "event_type", F.lead("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("next_type"))
 
 
-@plan("""SELECT a.event_id, b.value AS last_value FROM (SELECT * FROM events WHERE event_id % 4 = 0) a ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_id % 4 <> 0 GROUP BY ALL) b ON a.user_id = b.user_id AND a.ts >= b.ts""")
+@plan("""SELECT a.event_id, b.value AS last_value FROM events a ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY ALL) b ON a.user_id = b.user_id AND a.ts >= b.ts""")
 def as_of_join(t):
-    left = t.events.filter("event_id % 4 = 0").select("event_id", "user_id", "ts")
-    right = t.events.filter("event_id % 4 <> 0").groupBy("user_id", "ts").agg(F.max("value").alias("last_value"))
+    """Every event with its user's last purchase up to then."""
+    left = t.events.select("event_id", "user_id", "ts")
+    right = t.events.filter("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("last_value"))
     return X.as_of_join(left, right, ["user_id"], "ts", "last_value").select("event_id", "last_value")
 
 
-@plan("SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice BETWEEN p_retailprice * 100 AND p_retailprice * 100 + 50 WHERE p_partkey <= 200")
+@plan("SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice BETWEEN p_retailprice * 100 AND p_retailprice * 100 + 5")
 def range_join(t):
-    ranges = t.part.filter("p_partkey <= 200").select("p_partkey", (F.col("p_retailprice") * 100).alias("low"), (F.col("p_retailprice") * 100 + 50).alias("high"))
-    return X.range_join(t.orders.select("o_orderkey", "o_totalprice"), ranges, "o_totalprice", "low", "high", 100).select("o_orderkey", "p_partkey")
+    ranges = t.part.select("p_partkey", (F.col("p_retailprice") * 100).alias("low"), (F.col("p_retailprice") * 100 + 5).alias("high"))
+    return X.range_join(t.orders.select("o_orderkey", "o_totalprice"), ranges, "o_totalprice", "low", "high", 10).select("o_orderkey", "p_partkey")
 
 
 # --- aggregation
@@ -428,14 +431,15 @@ def rolling_of_rolling(t):
     return t.events.select("event_type", m.alias("m")).groupBy("event_type").agg(r(F.min("m"), 6).alias("low"), r(F.max("m"), 6).alias("high"), r(F.stddev_samp("m"), 6).alias("std"))
 
 
-@plan("""WITH c AS (SELECT c_custkey // 32 AS y, c_custkey % 32 AS x, c_acctbal AS v FROM customer WHERE c_custkey < 1024) SELECT a.y, a.x, round(a.v + coalesce(l.v, 0) + coalesce(rr.v, 0), 4) AS s
+@plan("""WITH c AS (SELECT c_custkey // 32 AS y, c_custkey % 32 AS x, c_acctbal AS v FROM customer) SELECT a.y, a.x, round(a.v + coalesce(l.v, 0) + coalesce(rr.v, 0), 4) AS s
     FROM c a LEFT JOIN c l ON l.y = a.y AND l.x = (a.x + 31) % 32 LEFT JOIN c rr ON rr.y = a.y AND rr.x = (a.x + 1) % 32""")
 def wrap_stencil(t):
-    c = t.customer.filter("c_custkey < 1024").select(F.expr("c_custkey div 32").alias("y"), (F.col("c_custkey") % 32).alias("x"), F.col("c_acctbal").alias("v"))
-    left = c.select("y", ((F.col("x") + 1) % 32).alias("x"), F.col("v").alias("l"))
-    right = c.select("y", ((F.col("x") + 31) % 32).alias("x"), F.col("v").alias("r"))
-    zero = F.lit(0.0)
-    return c.join(left, ["y", "x"], "left").join(right, ["y", "x"], "left").select("y", "x", r(F.col("v") + F.coalesce("l", zero) + F.coalesce("r", zero)).alias("s"))
+    """A cell and its neighbours on a ring of 32: each value goes to the cells that add it, so
+    one aggregation does what two joins would."""
+    y, x = F.expr("c_custkey div 32"), F.col("c_custkey") % 32
+    to = F.explode(F.array(*[F.struct(((x + d) % 32).alias("x"), F.lit(d == 0).alias("own")) for d in (0, 1, 31)]))
+    c = t.customer.select(y.alias("y"), F.col("c_acctbal").alias("v"), to.alias("to"))
+    return c.groupBy("y", F.col("to.x").alias("x")).agg(r(F.sum("v")).alias("s"), F.max("to.own").alias("own")).filter("own").drop("own")
 
 
 @plan("""SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS 4 PRECEDING) / avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS 49 PRECEDING), 6) AS ratio FROM events""")
@@ -542,21 +546,20 @@ def set_functions(t):
     return t.nation.select("n_nationkey", F.size(F.array_intersect(chars, F.array(*map(F.lit, "aeiou")))).cast("bigint").alias("vowels"), F.size(F.array_union(chars, F.array(F.lit("a"), F.lit("e")))).cast("bigint").alias("letters"))
 
 
-TFIDF = """tok AS (SELECT p_partkey AS d, unnest(string_split(p_type || ' ' || p_brand || ' ' || p_name, ' ')) AS w FROM part WHERE p_partkey <= 100), tf AS (SELECT d, w, count(*) AS c FROM tok GROUP BY ALL),
-  idf AS (SELECT w, ln((SELECT count(DISTINCT d) FROM tok) / count(*)::DOUBLE) + 1 AS i FROM tf GROUP BY w), v AS (SELECT d, w, c * i AS x FROM tf JOIN idf USING (w)), nn AS (SELECT d, sqrt(sum(x * x)) AS n FROM v GROUP BY d)"""
-
-
-@plan(f"WITH {TFIDF} SELECT a.d AS a, b.d AS b, round(sum(a.x * b.x) / (any_value(na.n) * any_value(nb.n)), 5) AS cosine FROM v a JOIN v b USING (w) JOIN nn na ON na.d = a.d JOIN nn nb ON nb.d = b.d WHERE a.d < 10 AND b.d > a.d GROUP BY ALL")
+@plan()
 def tfidf_cosine(t):
-    tok = t.part.filter("p_partkey <= 100").select(F.col("p_partkey").alias("d"), F.explode(F.split(F.concat_ws(" ", "p_type", "p_brand", "p_name"), " ")).alias("w"))
+    """Each part whose key 100 divides against all parts: the weight of a word is its count
+    times ln(N / df) + 1. Words of the queries are an inverted index that is joined, and the
+    norms are sums, so no pair without a common word is made."""
+    tok = t.part.select(F.col("p_partkey").alias("d"), F.explode(F.split(F.concat_ws(" ", "p_type", "p_brand", "p_name"), " ")).alias("w"))
     tf = tok.groupBy("d", "w").agg(F.count("*").alias("c"))
-    n = tok.agg(F.countDistinct("d").alias("docs"))
+    n = tok.agg(F.countDistinct("d").alias("docs"))  # one row
     idf = tf.groupBy("w").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("w", (F.log(F.col("docs") / F.col("df")) + 1).alias("i"))
     v = tf.join(idf, "w").select("d", "w", (F.col("c") * F.col("i")).alias("x"))
     norm = v.groupBy("d").agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("n"))
     u = v.join(norm, "d").select("d", "w", (F.col("x") / F.col("n")).alias("x"))
-    a, b = u.filter("d < 10").select(F.col("d").alias("a"), "w", F.col("x").alias("xa")), u.select(F.col("d").alias("b"), "w", F.col("x").alias("xb"))
-    return a.join(b, "w").filter("b > a").groupBy("a", "b").agg(r(F.sum(F.col("xa") * F.col("xb")), 5).alias("cosine"))
+    a, b = u.filter("d % 100 = 0").select(F.col("d").alias("a"), "w", F.col("x").alias("xa")), u.select(F.col("d").alias("b"), "w", F.col("x").alias("xb"))
+    return a.join(b, "w").filter("b <> a").groupBy("a", "b").agg(r(F.sum(F.col("xa") * F.col("xb")), 5).alias("cosine"))
 
 
 @plan("SELECT c_mktsegment, sum(w)::BIGINT AS weight FROM (SELECT c_mktsegment, CASE substr(c_name, length(c_name), 1) WHEN '1' THEN 5 WHEN '2' THEN 3 ELSE 1 END AS w FROM customer) GROUP BY 1")
@@ -604,6 +607,11 @@ def table_function(t):
             for i, c in enumerate(word):
                 yield i + 1, c
 
-    t.spark.udtf.register("tesserae_letters", Letters)
-    t.nation.createOrReplaceTempView("tesserae_nation")
-    return t.spark.sql("SELECT n_nationkey, i, c FROM tesserae_nation, LATERAL tesserae_letters(n_name)")
+    name, view = f"tesserae_letters_{uuid.uuid4().hex}", f"tesserae_nation_{uuid.uuid4().hex}"
+    t.spark.udtf.register(name, Letters)
+    t.nation.createOrReplaceTempView(view)
+    try:
+        return t.spark.sql(f"SELECT n_nationkey, i, c FROM {view}, LATERAL {name}(n_name)")
+    finally:  # the plan is made; the session keeps neither
+        t.spark.catalog.dropTempView(view)
+        t.spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {name}")

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tesserae.operators import policy as P
 from tesserae.plans.registry import plan
 
 BASE = """
@@ -189,14 +190,15 @@ def delta_vs_first(t):
     return last.exceptAll(p.filter("tid = 1").select("oid", "content_hash"))
 
 
-@plan("""WITH o AS (SELECT c_custkey AS i, c_acctbal AS s FROM customer WHERE c_custkey BETWEEN 1 AND 6),
-    c AS (SELECT k, sum(CASE WHEN (k >> (i - 1)) & 1 = 1 THEN abs(s) * 0.1 + 1200 ELSE abs(s) END) AS cost FROM range(64) r(k), o GROUP BY k)
-    SELECT k::BIGINT AS decisions, round(cost, 4) AS cost FROM c ORDER BY c.cost, k LIMIT 1""")
+@plan("""WITH o AS (SELECT c_nationkey AS n, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS i, sum(abs(c_acctbal)) AS s FROM customer GROUP BY c_nationkey, c_mktsegment),
+    c AS (SELECT n, k, sum(CASE WHEN (k >> i) & 1 = 1 THEN s * 0.1 + 1200 ELSE s END) AS cost FROM range(32) r(k), o GROUP BY n, k)
+    SELECT n::BIGINT AS n, arg_min(k, (round(cost, 4), k))::BIGINT AS decisions, round(min(cost), 4) AS cost FROM c GROUP BY n""")
 def exhaustive_minimum(t):
-    o = t.customer.filter("c_custkey between 1 and 6").select(F.col("c_custkey").alias("i"), F.abs("c_acctbal").alias("s"))
-    k = t.spark.range(64).withColumnRenamed("id", "k")
-    cost = k.crossJoin(F.broadcast(o)).withColumn("c", F.expr("case when (shiftright(k, int(i - 1)) & 1) = 1 then s * 0.1 + 1200 else s end"))  # 64 by 6
-    return cost.groupBy("k").agg(F.sum("c").alias("cost")).orderBy("cost", "k").limit(1).select(F.col("k").alias("decisions"), F.round("cost", 4).alias("cost"))
+    """For each nation the cheapest of all decisions over its market segments: 2 ** 5 sets."""
+    o = t.customer.groupBy("c_nationkey", "c_mktsegment").agg(F.sum(F.abs("c_acctbal")).alias("size"))
+    segments = [x["c_mktsegment"] for x in t.customer.select("c_mktsegment").distinct().orderBy("c_mktsegment").limit(P.MOST_DECISIONS + 1).collect()]
+    position = F.array_position(F.array(*map(F.lit, segments)), F.col("c_mktsegment")) - 1
+    return P.exhaustive(o.select(F.col("c_nationkey").cast("bigint").alias("n"), position.alias("i"), "size"), "n", len(segments), 0.1)
 
 
 @plan("""SELECT o_custkey, string_agg(o_orderpriority, '|' ORDER BY o_orderkey) AS body FROM orders GROUP BY o_custkey""")
@@ -269,9 +271,6 @@ def training_labels(t):
 
 # --- policies
 
-from tesserae.operators import policy as P  # noqa: E402
-
-
 @plan("""SELECT p_partkey, CASE WHEN k IN ('SMALL', 'ECONOMY') OR k NOT IN ('LARGE', 'PROMO', 'STANDARD') THEN 'bundle'
     WHEN k = 'PROMO' OR p_size % 3 >= 1 THEN 'split_final' ELSE 'split' END AS action FROM (SELECT *, split_part(p_type, ' ', 1) AS k FROM part)""")
 def type_policy(t):

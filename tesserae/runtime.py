@@ -9,8 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Paths that this process has written and not yet deleted.
 _written: list[str] = []
@@ -65,13 +64,11 @@ def cut(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
 
 
 def cut_any(df: DataFrame, label: str, which: Column | None = None) -> tuple[DataFrame, bool]:
-    """As ``cut``, and whether any row was written (any for which ``which`` is true): seen
-    while writing, so rounds need no second job to know if they are the last. A repeated
-    task may count its rows twice, but never makes none into some."""
-    seen = Observation()
-    one = F.lit(1) if which is None else F.when(which, 1)
-    out = cut(df.observe(seen, F.count(one).alias("n")), label)
-    return out, bool(seen.get.get("n"))
+    """As ``cut``, and whether any row was written (any for which ``which`` is true). Found in
+    what was written, up to the first such row: an observation would stay in the session,
+    and fitted models could no more be sent to executors from it."""
+    out = cut(df, label)
+    return out, not (out if which is None else out.filter(which)).isEmpty()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
