@@ -9,8 +9,19 @@ from tesserae.operators.stats import human_bytes  # noqa: F401
 
 
 def human_seconds(s: Column) -> Column:
-    clock = F.concat_ws(":", F.floor(s / 3600).cast("string"), (F.floor(s / 60) % 60).cast("string"), (F.floor(s) % 60).cast("string"))
-    return F.when(s >= 60, clock).when(s >= 1, F.format_string("%.1f s", s)).when(s >= 1e-3, F.format_string("%.1f ms", s * 1e3)).otherwise(F.format_string("%.1f us", s * 1e6))
+    """1:5 is a minute and five seconds; nothing is padded."""
+    text = lambda x: x.cast("bigint").cast("string")
+    left = lambda n: s - F.floor(s / n) * n
+    seconds = text(F.bround(left(60)))
+    clock = F.concat_ws(":", text(F.floor(s / 3600)), text(F.floor(left(3600) / 60)), seconds)
+    short = F.when(s >= 1, F.format_string("%.1f sec", s)).when(s >= 1e-3, F.format_string("%.1f msec", s * 1e3)).otherwise(F.format_string("%.1f usec", s * 1e6))
+    return F.when(s == float("inf"), "inf").when(s >= 3600, clock).when(s >= 60, F.concat_ws(":", text(F.floor(s / 60)), seconds)).otherwise(short)
+
+
+def human_rate(n: Column) -> Column:
+    """Operations a second."""
+    unit = lambda by, name: F.format_string(f"%.1f {name}op/s", n / by)
+    return F.when(n >= 1e9, unit(1e9, "G")).when(n >= 1e6, unit(1e6, "M")).when(n >= 1e3, unit(1e3, "K")).otherwise(unit(1.0, ""))
 
 
 def human_percent(p: Column) -> Column:

@@ -97,15 +97,20 @@ def _spread(edges: DataFrame, marks: DataFrame, steps: int = 2) -> DataFrame:
     return now
 
 
-def rollup(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """nodes (node, size), acyclic edges (src, dst) -> node, total, paths.
+def rollup(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000, cut_cycles: bool = False) -> DataFrame:
+    """nodes (node, size), edges (src, dst) -> node, total, paths.
 
     A node's total is its own size and the totals of what it depends on; a shared child
     counts once for each path. Every round hands sums one edge up, so it moves a row a
     node and edge, never a row for each pair of a node and what it reaches. Edges that
     repeat are paths of their own, null ends are ignored; a path of more than
-    ``max_rounds`` edges, as in a cycle, is an error.
+    ``max_rounds`` edges, as in a cycle, is an error. With ``cut_cycles`` edges whose ends
+    reach each other are left out first, so each node of a cycle has its own share only.
     """
+    if cut_cycles:
+        comp = strong_components(edges)
+        side = lambda end: comp.select(F.col("node").alias(end), F.col("comp").alias(f"__{end}"))
+        edges = edges.join(side("src"), "src").join(side("dst"), "dst").filter("__src <> __dst").select("src", "dst")
     edges = cut(edges.select("src", "dst").dropna(), "rollup-edges")
     step, more = cut_any(nodes.select("node", F.col("size").alias("total"), F.lit(1).cast("bigint").alias("paths")), "rollup")
     found, known = step, nodes.select("node").distinct()

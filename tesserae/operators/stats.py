@@ -26,7 +26,7 @@ def ecdf(df: DataFrame, by: list[str], value: str, tie: str) -> DataFrame:
 
 def human_bytes(b: Column) -> Column:
     unit = lambda n, name: F.format_string(f"%.1f {name}", b / n)
-    return F.when(b >= 1e9, unit(1e9, "GB")).when(b >= 1e6, unit(1e6, "MB")).when(b >= 1e3, unit(1e3, "KB")).otherwise(unit(1.0, "B"))
+    return F.when(b >= 1e9, unit(1e9, "GB")).when(b >= 1e6, unit(1e6, "MB")).when(b >= 1e3, unit(1e3, "KB")).otherwise(unit(1.0, " B"))
 
 
 def skew_unbiased(x: str) -> Column:

@@ -153,7 +153,7 @@ def aligned_shift(t):
     return runs(t).select("id", F.lag("s", 1, 0.0).over(W.partitionBy("nb", "sut").orderBy("idx")).alias("join_s"), F.col("s").alias("exec_s"))
 
 
-@plan("""SELECT p_partkey, CASE WHEN b >= 1e9 THEN printf('%.1f GB', b / 1e9) WHEN b >= 1e6 THEN printf('%.1f MB', b / 1e6) WHEN b >= 1e3 THEN printf('%.1f KB', b / 1e3) ELSE printf('%.1f B', b) END AS shown
+@plan("""SELECT p_partkey, CASE WHEN b >= 1e9 THEN printf('%.1f GB', b / 1e9) WHEN b >= 1e6 THEN printf('%.1f MB', b / 1e6) WHEN b >= 1e3 THEN printf('%.1f KB', b / 1e3) ELSE printf('%.1f  B', b) END AS shown
     FROM (SELECT p_partkey, (p_partkey * p_partkey * p_partkey * 4)::DOUBLE AS b FROM part)""")
 def format_units(t):
     k = F.col("p_partkey")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tesserae.operators import policy as P
 from tesserae.plans.registry import plan
+from tesserae.sources.models import parse_trees
 
 BASE = """
 ev AS (SELECT event_id, user_id, event_type, value, CAST(ts AS DATE) AS day FROM events),
@@ -263,6 +264,20 @@ def rate_dependency_table(t):
     return t.orders.select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"), (F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).cast("bigint").alias("nth"))
 
 
+@plan("""WITH l AS (SELECT DISTINCT event_type FROM events WHERE ts::DATE = (SELECT max(ts::DATE) FROM events))
+    SELECT user_id AS oid, bool_or(event_type = 'signup') AS "global", arg_min(event_type, event_id) AS type, arg_min(event_type, event_id) IN (SELECT event_type FROM l) AS type_global,
+      sum(length(event_type) + length(props))::BIGINT AS size, count(*) AS len, sum(len(json_keys(props)))::BIGINT AS len_dict, NULL::BIGINT AS len_slots FROM events GROUP BY user_id""")
+def rate_feature_table(t):
+    """What a rate is learnt from, by object: names of the last version are the global ones."""
+    last = t.events.agg(F.max(F.to_date("ts")).alias("day"))  # one row
+    named = t.events.join(F.broadcast(last), F.to_date("ts") == F.col("day")).select(F.col("event_type").alias("type")).distinct().withColumn("type_global", F.lit(True))
+    own = t.events.groupBy(F.col("user_id").alias("oid")).agg(
+        F.bool_or(F.col("event_type") == "signup").alias("global"), F.min_by("event_type", "event_id").alias("type"), F.sum(F.length("event_type") + F.length("props")).alias("size"),
+        F.count("*").alias("len"), F.sum(F.size(F.call_function("json_object_keys", "props"))).alias("len_dict"), F.lit(None).cast("bigint").alias("len_slots"),
+    )
+    return own.join(named, "type", "left").withColumn("type_global", F.coalesce("type_global", F.lit(False)))
+
+
 @plan(f"WITH {BASE}, {SEEN} SELECT oid, sum((changed AND seen > 1)::INT)::BIGINT AS num_changes, sum((changed AND seen > 1)::INT) = 0 AS unchanged FROM counts GROUP BY oid")
 def training_labels(t):
     h = history(t).withColumn("c", (F.col("changed") & (F.col("seen") > 1)).cast("int"))
@@ -296,12 +311,12 @@ def greedy_cost_step(t):
 @plan("""WITH RECURSIVE o AS (SELECT o_custkey AS g, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, o_orderkey AS p,
       (o_orderkey % 40) * 1000.0::DOUBLE AS s, (o_orderkey % 5) * 0.05::DOUBLE AS c FROM orders),
     f AS (SELECT g, 0::BIGINT AS i, NULL::BIGINT AS p, 0.0::DOUBLE AS held, 0.0::DOUBLE AS rate, '' AS action FROM (SELECT DISTINCT g FROM o)
-      UNION ALL SELECT o.g, o.i, o.p, CASE WHEN st THEN held + o.s ELSE held END, CASE WHEN st THEN least(rate + o.c, 1) ELSE rate END, CASE WHEN st THEN 'bundle' ELSE 'split' END
+      UNION ALL SELECT o.g, o.i, o.p, CASE WHEN st THEN held + o.s ELSE held END, CASE WHEN st THEN least(rate + o.c, 1) ELSE rate END, CASE WHEN st THEN 'bundle' WHEN o.p % 3 >= 1 THEN 'split_final' ELSE 'split' END
       FROM (SELECT f.*, o.s AS s2, o.c AS c2, (held + o.s) * least(rate + o.c, 1) + 1200 <= held * rate + o.s * o.c + 2400 AS st FROM f JOIN o ON o.g = f.g AND o.i = f.i + 1) f JOIN o ON o.g = f.g AND o.i = f.i + 1)
     SELECT g AS group_id, p AS position, action FROM f WHERE i > 0""")
 def greedy_policy_fold(t):
     key = F.col("o_orderkey")
-    return P.greedy_fold(t.orders.select(F.col("o_custkey").alias("group_id"), key.alias("position"), ((key % 40) * 1000.0).alias("size"), ((key % 5) * 0.05).alias("rate")))
+    return P.greedy_fold(t.orders.select(F.col("o_custkey").alias("group_id"), key.alias("position"), ((key % 40) * 1000.0).alias("size"), ((key % 5) * 0.05).alias("rate"), (key % 3).alias("depth")))
 
 
 TREES = [("p_size", 25, ("p_retailprice", 1200, 0.1, -0.2), 0.4), ("p_retailprice", 1500, 0.05, ("p_size", 10, -0.1, 0.2))]
@@ -311,3 +326,48 @@ TREES = [("p_size", 25, ("p_retailprice", 1200, 0.1, -0.2), 0.4), ("p_retailpric
     + CASE WHEN p_retailprice <= 1500 THEN 0.05 ELSE CASE WHEN p_size <= 10 THEN -0.1 ELSE 0.2 END END)::DOUBLE, 6) AS score FROM part""")
 def tree_ensemble_rate(t):
     return t.part.select("p_partkey", F.round(P.tree_score(TREES), 6).alias("score"))
+
+
+#: A model of two trees in the text format of gradient-boosted trees.
+MODEL = """tree
+feature_names=size len len_dict
+
+Tree=0
+num_leaves=3
+split_feature=0 1
+threshold=25.5 20.5
+decision_type=2 10
+left_child=1 -1
+right_child=-2 -3
+leaf_value=0.25 -1.5 0.75
+
+Tree=1
+num_leaves=2
+split_feature=2
+threshold=2.5
+decision_type=8
+left_child=-1
+right_child=-2
+leaf_value=-0.5 0.125
+
+end of trees
+"""
+
+
+@plan("""WITH f AS (SELECT p_partkey, p_size AS size, CASE WHEN p_partkey % 5 > 0 THEN length(p_name) END AS len, CASE WHEN p_partkey % 4 > 0 THEN p_partkey % 7 END AS len_dict FROM part),
+    s AS (SELECT p_partkey, (CASE WHEN coalesce(size, 0) <= 25.5 THEN CASE WHEN len <= 20.5 OR len IS NULL THEN 0.25 ELSE 0.75 END ELSE -1.5 END + CASE WHEN len_dict <= 2.5 THEN -0.5 ELSE 0.125 END)::DOUBLE AS x FROM f)
+    SELECT p_partkey, round(1 / (1 + exp(-x)), 6) AS probability,
+      CASE WHEN p_partkey % 11 = 0 OR (('0x' || substr(md5(p_partkey::VARCHAR), 1, 4))::INT % 10 = 0 AND 1 / (1 + exp(-x)) < 0.5) THEN 0.0 ELSE 0.1 END::DOUBLE AS rate FROM s""")
+def tree_file_rate(t):
+    """Rates by a model file: a tenth of the objects, by hash, are asked for."""
+    key = F.col("p_partkey")
+    f = t.part.select("p_partkey", F.col("p_size").alias("size"), F.when(key % 5 > 0, F.length("p_name")).alias("len"), F.when(key % 4 > 0, key % 7).alias("len_dict"))
+    p = P.sigmoid(P.tree_score(parse_trees(MODEL)))
+    drawn = F.conv(F.substring(F.md5(key.cast("string")), 1, 4), 16, 10).cast("int") % 10 == 0
+    return f.select("p_partkey", F.round(p, 6).alias("probability"), P.sampled_rate(p, key % 11 == 0, drawn).alias("rate"))
+
+
+@plan("SELECT n_nationkey, 'split' AS alone, 'bundle' AS together, 0.5::DOUBLE AS rate, CASE WHEN n_nationkey % 5 = 0 THEN 0 ELSE greatest(least(n_nationkey / 10.0 - 0.5, 1), 0) END::DOUBLE AS bounded FROM nation")
+def naive_policies(t):
+    n = F.col("n_nationkey")
+    return t.nation.select("n_nationkey", P.naive_policy("split").alias("alone"), P.naive_policy("bundle").alias("together"), P.constant_rate(0.5).alias("rate"), P.bounded_rate(n / 10.0 - 0.5, n % 5 == 0).alias("bounded"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Statistics of one run, nested as they are recorded.
 RUN = (
     "nb string, sut string, dumps array<struct<nth:int,time_s:double,storage_b:bigint>>, loads array<struct<nth:int,tid:int,time_s:double,load_b:bigint>>, "
-    "exec_times array<double>, lock_times array<double>, join_times array<double>"
+    "async_dumps array<struct<nth:int,time_s:double,storage_b:bigint>>, exec_times array<double>, lock_times array<double>, join_times array<double>"
 )
 
 

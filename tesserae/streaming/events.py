@@ -45,6 +45,7 @@ def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "7 days
     return counts.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def first_contents(events: DataFrame, late: str = "36500 days") -> DataFrame:
-    """Distinct (user, type) as they arrive; the state of a key is dropped after ``late``."""
+def first_contents(events: DataFrame, late: str = "400 days") -> DataFrame:
+    """Distinct (user, type) as they arrive; the state of a key is dropped ``late`` after its
+    event, so the state holds what that time brings. Choose it no shorter than repeats take."""
     return events.withColumn("at", instant("ts")).withWatermark("at", late).dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type")
