@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.runtime import cut, cut_any
+from tesserae.runtime import cut, cut_any, join_skewed
+
+#: Edges up to which strong components are finished on the driver.
+FEW_EDGES = 20_000
 
 
 def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
@@ -37,27 +40,32 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).dropna().filter("src <> dst").distinct()
     both = cut(both, "component-edges")
-    now, more = cut(nodes.select("node", F.col("node").alias("comp")).dropna().distinct(), "components"), True
+    degree = both.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"))
+    now = nodes.select("node", F.col("node").alias("comp")).dropna().distinct().join(degree, "node", "left")
+    now, more, ends = cut(now.withColumn("n", F.coalesce("n", F.lit(0))), "components"), True, both.count()
+    size = now.count()
     while more:
-        label = now.select(F.col("node").alias("dst"), F.col("comp").alias("c"))
-        near = both.join(label, "dst").groupBy(F.col("src").alias("node")).agg(F.min("c").alias("c"))
-        low = now.join(near, "node", "left").select("node", F.least("comp", F.coalesce("c", "comp")).alias("comp"), F.col("comp").alias("old"))
+        label = now.select(F.col("node").alias("dst"), F.col("comp").alias("c"), "n")
+        near = join_skewed(both, label, ["dst"], "n", ends).groupBy(F.col("src").alias("node")).agg(F.min("c").alias("c"))
+        low = now.join(near, "node", "left").select("node", F.least("comp", F.coalesce("c", "comp")).alias("comp"), F.col("comp").alias("old"), "n")
         low = cut(low, "components")
-        jump = low.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
-        after = low.join(jump, "comp", "left").select("node", F.coalesce("further", "comp").alias("comp"), "old")
+        held = low.groupBy("comp").agg(F.count("*").alias("m"))
+        jump = low.select(F.col("node").alias("comp"), F.col("comp").alias("further")).join(held, "comp")
+        after = join_skewed(low, jump, ["comp"], "m", size, "left").select("node", F.coalesce("further", "comp").alias("comp"), "old", "n")
         after, more = cut_any(after, "components", F.col("comp") != F.col("old"))
-        now = after.select("node", "comp")
-    return now
+        now = after.select("node", "comp", "n")
+    return now.select("node", "comp")
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """edges (src, dst) -> node, comp: the least node that is reached and reaches back.
 
     By colours: each node takes the least rank that reaches it, and what reaches the
     owner of its colour inside the colour is that owner's component; the rest of each
     colour goes on, without edges between colours. Ranks are hashes, so that a long
     chain falls into many colours at once. A round moves a row a node and edge, never a
-    row for each pair of nodes. Null ends are ignored.
+    row for each pair of nodes. When no more than ``few`` edges are left (0: never), the
+    driver takes them and finishes. Null ends are ignored.
     """
     live, more = cut_any(edges.select("src", "dst").dropna().distinct(), "strong-edges", F.col("src") != F.col("dst"))
     nodes = live.select(F.col("src").alias("node")).unionByName(live.select(F.col("dst").alias("node"))).distinct()
@@ -65,7 +73,11 @@ def strong_components(edges: DataFrame) -> DataFrame:
     while more:
         # what nothing points to, or what points to nothing, is a component of its own
         live = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        live, more = cut_any(live.select("src", "dst"), "strong-edges")
+        live = cut(live.select("src", "dst"), "strong-edges")
+        left = live.count()
+        more = left > few
+        if 0 < left <= few:
+            found = found.unionByName(live.sparkSession.createDataFrame(_owners(live.collect()), found.schema))
         if more:
             ends = live.select(F.col("src").alias("node")).unionByName(live.select(F.col("dst").alias("node"))).distinct()
             owned = _spread(live, ends.select("node", F.struct(F.xxhash64("node").alias("hash"), "node").alias("mark"))).select("node", F.col("mark.node").alias("owner"))
@@ -83,6 +95,37 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return owner.join(least, "owner").select("node", "comp")
 
 
+def _owners(edges: list) -> list[tuple[int, int]]:
+    """(node, one node of its strong component) of a few edges: depth first along the edges,
+    then against them in the order of leaving."""
+    ahead, back = {}, {}
+    for a, b in edges:
+        ahead.setdefault(a, []).append(b)
+        back.setdefault(b, []).append(a)
+    order, seen = [], set()
+    for root in {*ahead, *back}:
+        stack = [(root, iter(ahead.get(root, ())))] if root not in seen else []
+        seen.add(root)
+        while stack:
+            node, rest = stack[-1]
+            after = next((x for x in rest if x not in seen), None)
+            if after is None:
+                order.append(stack.pop()[0])
+            else:
+                seen.add(after)
+                stack.append((after, iter(ahead.get(after, ()))))
+    owner: dict[int, int] = {}
+    for root in reversed(order):
+        stack = [root] if root not in owner else []
+        owner.setdefault(root, root)
+        while stack:
+            for x in back.get(stack.pop(), ()):
+                if x not in owner:
+                    owner[x] = root
+                    stack.append(x)
+    return list(owner.items())
+
+
 def _spread(edges: DataFrame, marks: DataFrame, steps: int = 2) -> DataFrame:
     """edges (src, dst), marks (node, mark or null) -> node, mark: the least of all that
     reach the node. A round goes ``steps`` edges far, for fewer tables."""

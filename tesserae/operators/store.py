@@ -37,6 +37,14 @@ SCHEMAS = {
 }
 
 
+def bounded_memo(firsts: DataFrame, capacity: int, least_b: int = 0, most_b: int | None = None) -> DataFrame:
+    """firsts (tid, oid, content_hash, size_b: the first holder of each content) -> what a memo
+    of ``capacity`` entries holds: the earliest contents of ``least_b`` to ``most_b`` bytes."""
+    fits = F.col("size_b") >= least_b
+    fits = fits if most_b is None else fits & (F.col("size_b") <= most_b)
+    return firsts.filter(fits).orderBy("tid", "oid").limit(capacity)
+
+
 class Folder:
     """Where a store keeps its tables: Parquet in a folder that all executors share."""
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.operators import policy as P
+from tesserae.operators.store import bounded_memo as memo
 from tesserae.plans.registry import plan
 from tesserae.sources.models import parse_trees
 
@@ -137,9 +138,9 @@ def page_assignment(t):
     return firsts(t).filter("is_new").withColumn("__before", run - small).select("tid", "oid", F.when(F.col("size_b") > 40, F.lit(-1).cast("bigint")).otherwise(F.expr("__before div 200")).alias("page"))
 
 
-@plan(f"WITH {BASE} SELECT content_hash, tid, oid, row_number() OVER (ORDER BY tid, oid) AS seen FROM firsts WHERE is_new QUALIFY seen <= 16")
+@plan(f"WITH {BASE} SELECT content_hash, tid, oid, row_number() OVER (ORDER BY tid, oid) AS seen FROM firsts WHERE is_new AND size_b BETWEEN 5 AND 40 QUALIFY seen <= 16")
 def bounded_memo(t):
-    return firsts(t).filter("is_new").orderBy("tid", "oid").limit(16).select("content_hash", "tid", "oid", F.row_number().over(W.orderBy("tid", "oid")).cast("bigint").alias("seen"))
+    return memo(firsts(t).filter("is_new"), 16, 5, 40).select("content_hash", "tid", "oid", F.row_number().over(W.orderBy("tid", "oid")).cast("bigint").alias("seen"))
 
 
 @plan(f"""WITH {BASE} SELECT f.tid, (SELECT count(*) FROM names n WHERE n.tid = f.tid) AS n_names, count(*) FILTER (WHERE is_new) AS n_new, count(*) FILTER (WHERE NOT is_new) AS n_synonyms FROM firsts f GROUP BY f.tid""")

@@ -10,11 +10,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Paths that this process has written and not yet deleted.
 _written: list[str] = []
-#: Rows of one Arrow batch handed to Python. Texts are long, so batches are short.
-ARROW_ROWS = 500
+#: Rows and bytes of one Arrow batch handed to Python. Texts are long, so batches are short.
+ARROW_ROWS, ARROW_BYTES = 500, 64 << 20
 
 
 def session(app: str = "tesserae", cpus: str = "*", partitions: int = 8) -> SparkSession:
@@ -37,16 +38,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches so that long texts fit a Python worker."""
+    """Bound the Arrow batches so that long texts fit a Python worker. The settings stay in the
+    session: plans are lazy and read them only when they run."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one is set only where the session has none."""
+    """The folder all executors share; one is set only where a local session has none. On a
+    cluster it must be named: no folder of one machine would do."""
     sc = spark.sparkContext
     if found := sc.getConf().get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("/tmp/checkpoints/tesserae")
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -71,6 +77,19 @@ def cut_any(df: DataFrame, label: str, which: Column | None = None) -> tuple[Dat
     return out, not (out if which is None else out.filter(which)).isEmpty()
 
 
+#: Heavy keys are those with more than this share of the rows; so there are at most 2,000.
+HEAVY = 1 / 2000
+
+
+def join_skewed(rows: DataFrame, side: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side``, one row a key that knows how many rows have it: keys with
+    more than ``HEAVY`` of the ``total`` are few, so they are broadcast and their rows stay
+    where they are; all others shuffle. ``how`` may also be left."""
+    heavy = side.filter(F.col(count) > total * HEAVY)
+    others = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(side.filter(F.col(count) <= total * HEAVY), keys, how)
+    return rows.join(F.broadcast(heavy), keys).unionByName(others)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
