@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.runtime import cut, cut_any
+from tesserae.runtime import cut, cut_any, join_skewed  # noqa: F401
 
 #: The six ASCII blanks that separate words.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -34,8 +34,6 @@ def set_aside(docs: DataFrame, names: list[str]) -> DataFrame:
     return docs
 
 
-#: Heavy keys are those with more than this share of the rows; so there are at most 2,000.
-HEAVY = 1 / 2000
 UPPER = 2**62 - 1
 
 
@@ -64,15 +62,6 @@ def as_row(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
 
 
-def join_skewed(rows: DataFrame, side: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``side``, one row a key that knows how many rows have it: keys with
-    more than ``HEAVY`` of the ``total`` are few, so they are broadcast and their rows stay
-    where they are; all others shuffle. ``how`` may also be left."""
-    heavy = side.filter(F.col(count) > total * HEAVY)
-    others = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(side.filter(F.col(count) <= total * HEAVY), keys, how)
-    return rows.join(F.broadcast(heavy), keys).unionByName(others)
-
-
 class HashCache(dict):
     """word -> 64-bit hash, emptied when it holds ``limit`` words, so memory is bounded."""
 
