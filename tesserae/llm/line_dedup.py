@@ -204,7 +204,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     per = cut(_per_text(placed, min_chars), "line-dropped")
     gone = per.filter(F.size("dropped") > 0).select("__p", F.col("n_lines").alias("__n"), F.col("dropped").alias("__gone"))
     joined = placed.join(gone, "__p", "left").filter("__gone is null or size(__gone) < __n")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    # a string with '1' for each line that goes, so that lines and marks are met in one pass
+    before = F.concat(F.array(F.lit(-1)), F.slice("__gone", F.lit(1), F.size("__gone") - 1))
+    marks = F.concat(F.array_join(F.zip_with("__gone", before, lambda g, b: F.repeat(F.lit("0"), g - b - 1)), "1"), F.lit("1"))
+    lines_ = F.split(F.col("__row.text"), "\n")
+    kept = F.array_join(F.zip_with(lines_, F.split(marks, ""), lambda x, m: F.when(m.isNull() | (m != "1"), x)), "\n")
     row = F.col("__row").withField("text", kept)
     if "n_chars" in names:
         row = row.withField("n_chars", F.length(kept).cast(docs.schema["n_chars"].dataType))

@@ -136,7 +136,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     per = spans.groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("__s"))
     held = as_row(docs)
     joined = held.join(per, held["doc_id"].cast("long").eqNullSafe(per["__d"]) & (F.xxhash64(held["text"]) == per["__t"]), "left")
-    raw = F.col("text").cast("binary")
+    raw = F.col("__row.text").cast("binary")
     kept = F.aggregate(
         "__s",
         F.struct(F.lit(0).alias("at"), F.array().cast("array<binary>").alias("parts")),

@@ -1,6 +1,7 @@
 """The join and the dedup operators against brute force."""
 
 import random
+import time
 from itertools import combinations
 
 import numpy as np
@@ -203,6 +204,19 @@ def test_lines_are_dropped_text_by_text(spark):
     assert rows4 == [(2, []), (2, [0])]
 
 
+def test_many_lines_go_in_one_pass(spark):
+    every = [f"{'x' * (k % 50)} line {k} of a long text" for k in range(20_000)]
+    docs = frame(spark, [[1, "\n".join(every[::2]), "en", "s", 0], [2, "\n".join(every), "en", "s", 0], [3, "\n\n" + every[0] + "\n\nnew one\n", "en", "s", 0]])
+    near = ld.near_lines  # numbers differ by one digit, which is one edit
+    began = time.time()
+    try:
+        ld.near_lines = lambda placed, distinct: distinct.select("h1").limit(0)
+        kept = {r["doc_id"]: r["text"] for r in ld.dedup_lines(docs).collect()}
+    finally:
+        ld.near_lines = near
+    assert kept == {1: "\n".join(every[::2]), 2: "\n".join(every[1::2]), 3: "\n\n\nnew one\n"} and time.time() - began < 60
+
+
 def test_gear_hash_depends_on_32_bytes():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 256, 300, dtype=np.uint8), rng.integers(0, 256, 300, dtype=np.uint8)
