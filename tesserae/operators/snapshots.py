@@ -3,12 +3,15 @@
 ``copy`` writes every table in full, ``delta`` writes the rows that a table has more
 and less than in its first version, ``nothing`` runs the tables and keeps no row. A
 name is a folder of its own in every mode, so a load reads only the names it asks for.
+A version is there once its commit is; a store opened again on its folder goes on.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tesserae.operators.store import Folder
+
 MODES = ("copy", "delta", "nothing")
 
 
@@ -17,9 +20,17 @@ class SnapshotStore:
         if mode not in MODES:
             raise ValueError(f"mode is one of {', '.join(MODES)}")
         self.spark, self.path, self.mode, self.codec = spark, path.rstrip("/"), mode, codec
+        self._folder = Folder(spark, self.path)
         #: The first version of each name, and the names of each version.
         self._first: dict[str, int] = {}
         self._names: list[set[str]] = []
+        for _, commit in sorted(self._folder.commits().items()):
+            self._note(set(commit["names"]))
+
+    def _note(self, names: set[str]) -> None:
+        self._names.append(names)
+        for name in names:
+            self._first.setdefault(name, len(self._names))
 
     def _at(self, tid: int, name: str, part: str = "rows") -> str:
         return f"{self.path}/tid={tid}/{name}/{part}"
@@ -32,7 +43,6 @@ class SnapshotStore:
                 df.write.format("noop").mode("overwrite").save()
             elif self.mode == "copy" or name not in self._first:
                 self._put(df, self._at(tid, name))
-                self._first.setdefault(name, tid)
             else:
                 base = self._rows(self._first[name], name)
                 if base.schema.simpleString() != df.schema.simpleString():
@@ -40,7 +50,10 @@ class SnapshotStore:
                 else:
                     self._put(df.exceptAll(base), self._at(tid, name, "more"))
                     self._put(base.exceptAll(df), self._at(tid, name, "less"))
-        self._names.append(set() if self.mode == "nothing" else set(tables))
+        names = set() if self.mode == "nothing" else set(tables)
+        if self.mode != "nothing":
+            self._folder.commit(tid, {"tid": tid, "names": sorted(names)})
+        self._note(names)
         return tid
 
     def load(self, tid: int, names: list[str] | None = None) -> dict[str, DataFrame]:

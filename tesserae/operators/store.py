@@ -77,8 +77,8 @@ class Folder:
         fs, at = self._fs("commits")
         if not fs.exists(at):
             return {}
-        rows = self.spark.read.schema("tid long, attempt string, tables array<string>, n_names long, n_new long, new_bytes long").json(str(at.toString()))
-        return {r["tid"]: r.asDict() for r in rows.filter("tid is not null").collect()}
+        rows = [json.loads(r[0]) for r in self.spark.read.text(str(at.toString())).filter("value <> ''").collect()]
+        return {r["tid"]: r for r in rows}
 
 
 class Memory:

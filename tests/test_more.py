@@ -13,6 +13,7 @@ from tesserae.operators import graph, pages, policy, static_check, windows
 from tesserae.operators.store import VersionStore
 from tesserae.plans import catalog, store_plans
 from tesserae.sources import generators, models, run_log
+from tesserae.streaming import events
 
 
 def test_tfidf_matches_brute_force(spark, sf):
@@ -135,3 +136,14 @@ def test_mutating_trees(spark):
         changed = wide[wide[v] != wide[v - 1]].reset_index()
         assert changed.name.nunique() == 5 and set(changed.groupby("name").size()) == {3}
     assert generators.mutating_trees(spark, 1, 2, 2).count() == 4
+
+
+def test_late_events_are_left_out(spark, tmp_path):
+    """Files come one by one; what is later than the watermark allows is not counted."""
+    path = str(tmp_path / "events")
+    for n, day in enumerate(["2024-01-01", "2024-01-05", "2024-03-01", "2024-03-02", "2024-01-02", "2024-03-20"]):
+        rows = spark.createDataFrame([(n, day, 1, "view", 1.0)], "event_id long, day string, user_id long, event_type string, value double")
+        rows.select("event_id", F.to_timestamp_ntz("day").alias("ts"), "user_id", "event_type", "value").coalesce(1).write.mode("append").parquet(path)
+    out = events.drain(events.windowed_counts(events.source(spark, path), late="7 days")).collect()
+    # windows close when 2024-03-20 has come; 2024-01-02 came too late, 2024-03-20 itself stays open
+    assert sorted((str(r["start"])[:10], r["n"]) for r in out) == [("2024-01-01", 1), ("2024-01-05", 1), ("2024-03-01", 1), ("2024-03-02", 1)]

@@ -132,6 +132,8 @@ def test_snapshots(spark, tmp_path, mode):
     assert set(store.load(1, ["y", "z"])) == {"y"} and set(store.load(2)) == {"x"}
     store.save({"x": first.select("k")})
     assert store.load(4)["x"].columns == ["k"] and store.size() > 0
+    again = SnapshotStore(spark, str(tmp_path / mode), mode)
+    assert rows(again.load(2)["x"]) == rows(second) and again.save({"y": second}) == 5 and rows(again.load(5)["y"]) == rows(second)
 
 
 def test_nothing_is_kept(spark, tmp_path):
