@@ -131,7 +131,7 @@ def test_statistics(spark):
     got = spark.createDataFrame([(0.0,), (0.5,), (0.999,), (1.0,)], "p double").select(S.histogram(F.col("p"), 10, 0.0, 1.0)).collect()
     assert [r[0] for r in got] == [0, 5, 9, 9]
     said = spark.range(1).select(shown.human_seconds(F.lit(3661.0)), shown.human_seconds(F.lit(0.5)), shown.human_percent(F.lit(0.05)), shown.human_bytes(F.lit(1500.0))).first()
-    assert list(said) == ["1:1:1", "500.0 ms", "5.00%", "1.5 KB"]
+    assert list(said) == ["1:1:1", "500.0 msec", "5.00%", "1.5 KB"]
     name = spark.range(1).select(shown.parse_piece_name(shown.piece_name(F.lit(3), F.lit(9))).alias("p")).first()["p"]
     assert (name["tid"], name["oid"]) == (3, 9)
 
