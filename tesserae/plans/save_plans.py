@@ -109,7 +109,7 @@ def static_code(t):
 
 
 @plan("""WITH s AS (SELECT p_partkey, (p_partkey * p_partkey * p_partkey)::DOUBLE / 7e6 AS s FROM part)
-    SELECT p_partkey, CASE WHEN s >= 3600 THEN printf('%d:%d:%d', (s // 3600)::INT, ((s % 3600) // 60)::INT, round_even(s % 60, 0)::INT) WHEN s >= 60 THEN printf('%d:%d', (s // 60)::INT, round_even(s % 60, 0)::INT)
+    SELECT p_partkey, CASE WHEN s >= 3600 THEN printf('%d:%d:%d', floor(s / 3600)::INT, floor((s % 3600) / 60)::INT, round_even(s % 60, 0)::INT) WHEN s >= 60 THEN printf('%d:%d', floor(s / 60)::INT, round_even(s % 60, 0)::INT)
       WHEN s >= 1 THEN printf('%.1f sec', s) WHEN s >= 1e-3 THEN printf('%.1f msec', s * 1e3) ELSE printf('%.1f usec', s * 1e6) END AS shown,
       CASE WHEN 7e12 * s >= 1e9 THEN printf('%.1f Gop/s', 7e12 * s / 1e9) WHEN 7e12 * s >= 1e6 THEN printf('%.1f Mop/s', 7e12 * s / 1e6) WHEN 7e12 * s >= 1e3 THEN printf('%.1f Kop/s', 7e12 * s / 1e3) ELSE printf('%.1f op/s', 7e12 * s) END AS rate FROM s""")
 def format_durations(t):
