@@ -339,7 +339,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: of the least doc_id, null last, then of the least
-    hash of the text, then the least row. Texts without words have no class and stay."""
+    hash of the text, then the least row as JSON. Texts without words have no class and stay."""
     keys = cut(_classes(docs).filter("comp is not null").groupBy("comp", "o", "t").agg(F.count("*").alias("n")), "jaccard-keys")
     lead = keys.groupBy("comp").agg(F.min(F.struct("o", "t")).alias("lead"), F.count("*").alias("texts"))
     # what goes, and what stays but stands in several rows
@@ -348,7 +348,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     keyed = as_row(docs).withColumn("__o", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__t", F.xxhash64("text"))
     alone = keyed.join(odd, ["__o", "__t"], "left_anti").select("__row.*")
     several = keyed.join(odd.filter("not gone"), ["__o", "__t"], "left_semi")
-    return alone.unionByName(several.groupBy("__o", "__t").agg(F.min("__row").alias("__row")).select("__row.*"))
+    return alone.unionByName(several.groupBy("__o", "__t").agg(F.min_by("__row", F.to_json("__row")).alias("__row")).select("__row.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -213,14 +213,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     if "n_chars" in names:
         row = row.withField("n_chars", F.length(kept).cast(docs.schema["n_chars"].dataType))
     out = joined.select("doc_id", "__p", F.when(F.col("__gone").isNull(), F.col("__row")).otherwise(row).alias("__row"))
-    # equal texts of null ids that still have lines: the least row stays
+    # equal texts of null ids that still have lines: the least row stays, as JSON
     again = placed.filter("doc_id is null").groupBy("__p").agg(F.count("*").alias("n")).filter("n > 1")
     again, some = cut_any(again.join(per.select("__p"), "__p", "left_semi").select("__p"), "line-again")
     if not some:
         return out.select("__row.*")
     alone = out.join(again, "__p", "left_anti")
     several = out.filter("doc_id is null").join(again, "__p", "left_semi")
-    return alone.select("__row.*").unionByName(several.groupBy("__p").agg(F.min("__row").alias("__row")).select("__row.*"))
+    return alone.select("__row.*").unionByName(several.groupBy("__p").agg(F.min_by("__row", F.to_json("__row")).alias("__row")).select("__row.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae.llm import jaccard_join as jj
 from tesserae.llm import line_dedup as ld
@@ -115,6 +116,20 @@ def test_heavy_keys_join_as_others(spark):
             assert got == sorted(map(tuple, left.join(side, "k", how).collect()), key=str)
 
 
+def test_other_columns_of_any_kind_are_kept(spark):
+    """Maps cannot be compared, and names may be those the operators use."""
+    rng = random.Random(21)
+    a, b = (" ".join(words(rng, 40)) for _ in range(2))
+    plain = frame(spark, [[1, a, "", "", 0], [1, a, "", "", 0], [2, b, "", "", 0], [None, b, "", "", 0], [None, b + " more", "", "", 0]]).select("doc_id", "text")
+    docs = plain.withColumn("__row", F.create_map(F.lit("k"), F.rand(1))).withColumn("__p", F.lit(7)).withColumn("__o", F.array(F.lit(1))).withColumn("p", F.lit(None).cast("string"))
+    for f in (jj.keep_one, ld.dedup_lines):
+        out = f(docs)
+        assert out.columns == docs.columns
+        kept = out.collect()
+        assert {r["doc_id"] for r in kept} >= {1, 2} and all(r["__p"] == 7 and r["__o"] == [1] and set(r["__row"]) == {"k"} for r in kept)
+    assert len(jj.keep_one(docs).collect()) == 2
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = dict(jj.components(edges).collect())
