@@ -15,6 +15,13 @@ from tesserae.runtime import cut, cut_any, join_skewed
 FEW_EDGES = 20_000
 
 
+def _wide(df: DataFrame) -> DataFrame:
+    """A side of a join that may have a row a node or edge, so both sides are shuffled. Files of
+    ids and constants compress so well that Spark would take millions of rows for a small
+    table, and build it on the driver to broadcast it."""
+    return df.hint("merge")
+
+
 def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """edges (src, dst), seeds (node) -> seed, node, hops (least) of all that is reached.
 
@@ -26,8 +33,8 @@ def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -
     found, rounds = new, 0
     while more and (max_rounds is None or rounds < max_rounds):
         rounds += 1
-        step = new.join(edges, new["node"] == edges["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        new, more = cut_any(step.join(found.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(rounds)), "closure")
+        step = new.join(_wide(edges), new["node"] == edges["src"]).select("seed", F.col("dst").alias("node")).distinct()
+        new, more = cut_any(step.join(_wide(found.select("seed", "node")), ["seed", "node"], "left_anti").withColumn("hops", F.lit(rounds)), "closure")
         found = found.unionByName(new)
     return found
 
@@ -41,17 +48,17 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).dropna().filter("src <> dst").distinct()
     both = cut(both, "component-edges")
     degree = both.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"))
-    now = nodes.select("node", F.col("node").alias("comp")).dropna().distinct().join(degree, "node", "left")
+    now = nodes.select("node", F.col("node").alias("comp")).dropna().distinct().join(_wide(degree), "node", "left")
     now, more, ends = cut(now.withColumn("n", F.coalesce("n", F.lit(0))), "components"), True, both.count()
     size = now.count()
     while more:
         label = now.select(F.col("node").alias("dst"), F.col("comp").alias("c"), "n")
-        near = join_skewed(both, label, ["dst"], "n", ends).groupBy(F.col("src").alias("node")).agg(F.min("c").alias("c"))
-        low = now.join(near, "node", "left").select("node", F.least("comp", F.coalesce("c", "comp")).alias("comp"), F.col("comp").alias("old"), "n")
+        near = join_skewed(both, label, ["dst"], "n", ends, wide=True).groupBy(F.col("src").alias("node")).agg(F.min("c").alias("c"))
+        low = now.join(_wide(near), "node", "left").select("node", F.least("comp", F.coalesce("c", "comp")).alias("comp"), F.col("comp").alias("old"), "n")
         low = cut(low, "components")
         held = low.groupBy("comp").agg(F.count("*").alias("m"))
-        jump = low.select(F.col("node").alias("comp"), F.col("comp").alias("further")).join(held, "comp")
-        after = join_skewed(low, jump, ["comp"], "m", size, "left").select("node", F.coalesce("further", "comp").alias("comp"), "old", "n")
+        jump = low.select(F.col("node").alias("comp"), F.col("comp").alias("further")).join(_wide(held), "comp")
+        after = join_skewed(low, jump, ["comp"], "m", size, "left", wide=True).select("node", F.coalesce("further", "comp").alias("comp"), "old", "n")
         after, more = cut_any(after, "components", F.col("comp") != F.col("old"))
         now = after.select("node", "comp", "n")
     return now.select("node", "comp")
@@ -72,7 +79,7 @@ def strong_components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     live, found = live.filter("src <> dst"), nodes.select("node", F.col("node").alias("owner"))
     while more:
         # what nothing points to, or what points to nothing, is a component of its own
-        live = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        live = live.join(_wide(live.select(F.col("dst").alias("src")).distinct()), "src", "left_semi").join(_wide(live.select(F.col("src").alias("dst")).distinct()), "dst", "left_semi")
         live = cut(live.select("src", "dst"), "strong-edges")
         left = live.count()
         more = left > few
@@ -82,17 +89,17 @@ def strong_components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
             ends = live.select(F.col("src").alias("node")).unionByName(live.select(F.col("dst").alias("node"))).distinct()
             owned = _spread(live, ends.select("node", F.struct(F.xxhash64("node").alias("hash"), "node").alias("mark"))).select("node", F.col("mark.node").alias("owner"))
             owner = lambda end: owned.select(F.col("node").alias(end), F.col("owner").alias(f"{end}_owner"))  # noqa: E731, B023
-            live = cut(live.join(owner("src"), "src").join(owner("dst"), "dst").filter("src_owner = dst_owner").select("src", "dst"), "strong-edges")
+            live = cut(live.join(_wide(owner("src")), "src").join(_wide(owner("dst")), "dst").filter("src_owner = dst_owner").select("src", "dst"), "strong-edges")
             # edges stay inside colours, so what reaches an owner reaches its own
             reached = _spread(live.select(F.col("dst").alias("src"), F.col("src").alias("dst")), owned.select("node", F.when(F.col("node") == F.col("owner"), 1).alias("mark")))
-            core = owned.join(reached.filter("mark = 1"), "node", "left_semi").select("node", "owner")
+            core = owned.join(_wide(reached.filter("mark = 1")), "node", "left_semi").select("node", "owner")
             found = found.unionByName(core)
-            gone = core.select("node")
+            gone = _wide(core.select("node"))
             live, more = cut_any(live.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "strong-edges")
     # a node of a larger component has two rows: itself, and its owner if that is another
     owner = found.groupBy("node").agg(F.max_by("owner", F.col("owner") != F.col("node")).alias("owner"))
     least = owner.groupBy("owner").agg(F.min("node").alias("comp"))
-    return owner.join(least, "owner").select("node", "comp")
+    return owner.join(_wide(least), "owner").select("node", "comp")
 
 
 def _owners(edges: list) -> list[tuple[int, int]]:
@@ -133,8 +140,8 @@ def _spread(edges: DataFrame, marks: DataFrame, steps: int = 2) -> DataFrame:
     while more:
         now = now.select("node", "mark", F.col("mark").alias("old"))
         for _ in range(steps):
-            near = edges.join(now.select(F.col("node").alias("src"), "mark").dropna(), "src").groupBy(F.col("dst").alias("node")).agg(F.min("mark").alias("near"))
-            now = now.join(near, "node", "left").select("node", F.least("mark", "near").alias("mark"), "old")
+            near = edges.join(_wide(now.select(F.col("node").alias("src"), "mark").dropna()), "src").groupBy(F.col("dst").alias("node")).agg(F.min("mark").alias("near"))
+            now = now.join(_wide(near), "node", "left").select("node", F.least("mark", "near").alias("mark"), "old")
         now, more = cut_any(now, "spread", ~F.col("mark").eqNullSafe(F.col("old")))
         now = now.select("node", "mark")
     return now
@@ -153,15 +160,15 @@ def rollup(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000, cut_cycle
     if cut_cycles:
         comp = strong_components(edges)
         side = lambda end: comp.select(F.col("node").alias(end), F.col("comp").alias(f"__{end}"))
-        edges = edges.join(side("src"), "src").join(side("dst"), "dst").filter("__src <> __dst").select("src", "dst")
+        edges = edges.join(_wide(side("src")), "src").join(_wide(side("dst")), "dst").filter("__src <> __dst").select("src", "dst")
     edges = cut(edges.select("src", "dst").dropna(), "rollup-edges")
     step, more = cut_any(nodes.select("node", F.col("size").alias("total"), F.lit(1).cast("bigint").alias("paths")), "rollup")
     found, known = step, nodes.select("node").distinct()
     for _ in range(max_rounds):
         if more:
-            up = step.join(edges, step["node"] == edges["dst"]).groupBy(F.col("src").alias("node"))
+            up = step.join(_wide(edges), step["node"] == edges["dst"]).groupBy(F.col("src").alias("node"))
             step, more = cut_any(up.agg(F.sum("total").alias("total"), F.sum("paths").alias("paths")), "rollup")
         if not more:
-            return found.groupBy("node").agg(F.sum("total").alias("total"), F.sum("paths").alias("paths")).join(known, "node", "left_semi")
+            return found.groupBy("node").agg(F.sum("total").alias("total"), F.sum("paths").alias("paths")).join(_wide(known), "node", "left_semi")
         found = found.unionByName(step)
     raise ValueError(f"a path has more than {max_rounds} edges; is there a cycle?")

@@ -81,12 +81,14 @@ def cut_any(df: DataFrame, label: str, which: Column | None = None) -> tuple[Dat
 HEAVY = 1 / 2000
 
 
-def join_skewed(rows: DataFrame, side: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+def join_skewed(rows: DataFrame, side: DataFrame, keys: list[str], count: str, total: int, how: str = "inner", wide: bool = False) -> DataFrame:
     """``rows`` joined with ``side``, one row a key that knows how many rows have it: keys with
     more than ``HEAVY`` of the ``total`` are few, so they are broadcast and their rows stay
-    where they are; all others shuffle. ``how`` may also be left."""
+    where they are; all others shuffle. ``how`` may also be left. ``wide``: the others are many,
+    whatever the size of their files, so they are never broadcast."""
+    light = side.filter(F.col(count) <= total * HEAVY)
     heavy = side.filter(F.col(count) > total * HEAVY)
-    others = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(side.filter(F.col(count) <= total * HEAVY), keys, how)
+    others = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light.hint("merge") if wide else light, keys, how)
     return rows.join(F.broadcast(heavy), keys).unionByName(others)
 
 

@@ -54,6 +54,24 @@ def test_strong_components_and_rollup(spark):
         G.rollup(sized, edges(spark, [(1, 2), (2, 1)]), max_rounds=2)
 
 
+def test_wide_joins_of_graphs_are_not_broadcast(spark):
+    """A row a node may be millions of rows in a small file."""
+    n = spark.range(200).select(F.col("id").alias("node"), F.lit(1).cast("bigint").alias("size"))
+    e = spark.range(1, 200).select((F.col("id") % 7).alias("src"), (F.col("id") + 7).alias("dst"))
+    for out in (G.rollup(n, e), G.closure(e, n.select("node")), G.components(n.select("node"), e), G.strong_components(e, few=0)):
+        out.collect()
+        assert "BroadcastHashJoin" not in str(out._jdf.queryExecution().executedPlan())
+    # the rounds themselves
+    seen, real = [], G.cut_any
+    try:
+        G.cut_any = lambda df, *a: (seen.append(df), real(df, *a))[1]
+        G.rollup(n, e).count(), G.closure(e, n.select("node")).count()
+    finally:
+        G.cut_any = real
+    assert any("SortMergeJoin" in str(df._jdf.queryExecution().executedPlan()) for df in seen)
+    assert not any("BroadcastHashJoin" in str(df._jdf.queryExecution().executedPlan()) for df in seen)
+
+
 def test_strong_components_equal_mutual_reach(spark):
     # cycles joined by one-way edges, a chain, a cycle inside a larger one, repeats, nulls
     rows = [(1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 3), (5, 6), (6, 7), (7, 8), (8, 6), (8, 7), (8, 9), (9, 10), (10, 11), (12, 1), (20, 21), (21, 20), (20, 21), (None, 1), (3, None), (9, 9)]
