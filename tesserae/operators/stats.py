@@ -24,8 +24,23 @@ def ecdf(df: DataFrame, by: list[str], value: str, tie: str) -> DataFrame:
     return df.withColumn("percent", rank / F.count(F.lit(1)).over(w) * 100)
 
 
+def fixed(x: Column, digits: int = 1) -> Column:
+    """``x`` with one or two digits, as C's printf writes it: what is rounded, half to even, is
+    the binary number itself, not its shortest decimal form as in ``format_string``. From 1 up
+    in whole numbers: the fraction is a multiple of 2^-52."""
+    v, ten = F.abs(x), 10**digits
+    whole = F.floor(v)
+    part = ((v - whole) * 2.0**52).cast("bigint") * ten
+    cut, rest = F.shiftright(part, 52), part.bitwiseAND(F.lit(2**52 - 1))
+    cut = cut + ((rest > 2**51) | ((rest == 2**51) & (cut % 2 == 1))).cast("bigint")
+    text = F.concat((whole + (cut == ten).cast("bigint")).cast("string"), F.lit("."), F.lpad((cut % ten).cast("string"), digits, "0"))
+    small = F.format_number(v, digits)
+    sign = F.when(x < 0, "-").otherwise("")
+    return F.when(v < 1, F.concat(sign, small)).when(v < 2.0**63, F.concat(sign, text)).when(x.isNotNull(), F.format_string(f"%.{digits}f", x))
+
+
 def human_bytes(b: Column) -> Column:
-    unit = lambda n, name: F.format_string(f"%.1f {name}", b / n)
+    unit = lambda n, name: F.concat(fixed(b / n), F.lit(f" {name}"))
     return F.when(b >= 1e9, unit(1e9, "GB")).when(b >= 1e6, unit(1e6, "MB")).when(b >= 1e3, unit(1e3, "KB")).otherwise(unit(1.0, " B"))
 
 
