@@ -8,8 +8,8 @@ import pytest
 from pyarrow import feather
 from pyspark.sql import functions as F
 
-from tesserae.functions.shown import human_seconds
-from tesserae.operators import graph, pages, policy, static_check, windows
+from tesserae.functions.shown import human_percent, human_rate, human_seconds
+from tesserae.operators import graph, pages, policy, static_check, stats, windows
 from tesserae.operators.store import VersionStore
 from tesserae.plans import catalog, store_plans
 from tesserae.sources import generators, models, run_log
@@ -91,6 +91,17 @@ def test_feather(spark, tmp_path):
     got = models.read_feather(spark, str(tmp_path / "*.feather"), "k long, v string")
     assert sorted(map(tuple, got.collect())) == [(i, f"v{i}") for i in range(3)]
 
+def test_digits_are_those_of_printf(spark):
+    """Halves in binary, numbers just beside a half, large ones, and what rounds up to a whole."""
+    given = [k**3 * 4 / by for k in range(1, 1_200_000, 4_999) for by in (1e3, 1e6, 1e9)] + [0.25, 0.35, 0.75, 2.5, 1.25, 1.35, 999.95, 9.96, 0.96, 0.05, 0.15, 0.005, 0.015, 0.045, 0.0, 1e-9]
+    given += [1728000000000000.25, 1728000000000000.75, 2.0**60, 123456789012345678.0, -0.25, -3.35, -0.01, 59.95, 4503599627370495.5] + [j / 8 for j in range(60)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x double").select("i", stats.fixed(F.col("x")).alias("a"), stats.fixed(F.col("x"), 2).alias("b")).collect()
+    assert all((r["a"], r["b"]) == (f"{given[r['i']]:.1f}", f"{given[r['i']]:.2f}") for r in rows)
+    odd = spark.createDataFrame([(2250.0, 0.00125, 62.5)], "b double, p double, s double")
+    (row,) = odd.select(stats.human_bytes(F.col("b")), human_rate(F.col("b")), human_percent(F.col("p")), human_seconds(F.col("s")), stats.fixed(F.lit(None).cast("double"))).collect()
+    assert list(row) == ["2.2 KB", "2.2 Kop/s", "0.12%", "1:2", None]
+
+
 
 def test_pages(spark, tmp_path):
     rows = [(i, 10 if i % 3 else 2000, f"p{i}") for i in range(60)]
