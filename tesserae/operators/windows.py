@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tesserae.runtime import cut
 
@@ -88,6 +94,72 @@ def at_positions(df: DataFrame, order: list[str], first: int, last: int) -> Data
     return counted.filter(wanted).drop("__part", "__at")
 
 
+def _by_ranges(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``df`` dealt and sorted by ranges of group and order (nulls last), with the range's
+    number and the place in it."""
+    keys = [F.col(c).asc_nulls_last() for c in (*by, *order)]
+    spread = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return spread.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)))
+
+
+def _earlier(ranged: DataFrame, by: list[str], value: Column) -> tuple[DataFrame, Column]:
+    """One row a range and group with ``__before``, the sum of ``value`` in earlier ranges of the
+    group, and ``__first``, the group's first place in the range; how to join it."""
+    past = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("__part", *by).agg(F.sum(value).alias("__n"), F.min("__at").alias("__first"))
+    parts = parts.select(F.col("__part").alias("__p"), *[F.col(c).alias(f"__{c}") for c in by], "__first", F.coalesce(F.sum("__n").over(past), F.lit(0)).alias("__before"))
+    on = F.col("__part") == F.col("__p")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return parts, on
+
+
+def places(df: DataFrame, by: list[str], order: list[str], keep: list[str]) -> DataFrame:
+    """The columns ``keep`` (with ``by``) of ``df``, with ``before``: how many rows of its group come before a row in the order. For few
+    large groups: rows are dealt by ranges of the order and counted where they lie, one row a
+    range and group is added up apart, so no task gets more than its range."""
+    ranged = cut(_by_ranges(df, by, order).select(*keep, "__part", "__at"), "places")
+    parts, on = _earlier(ranged, by, F.lit(1))
+    return ranged.join(F.broadcast(parts), on).select(*keep, (F.col("__before") + F.col("__at") - F.col("__first")).alias("before"))
+
+
+def running_sums(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+    """``df`` with ``before``: the sum of ``value`` over the rows of its group that come before a
+    row in the order, as ``places``."""
+    ranged = cut(_by_ranges(df, by, order), "running")
+    parts, on = _earlier(ranged, by, F.col(value))
+    inside = Window.partitionBy("__part", *by).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return sums.join(F.broadcast(parts), on).select(*df.columns, (F.col("__before") + F.col("__inside")).alias("before"))
+
+
+def apply_to_groups(df: DataFrame, by: str, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``f`` over frames of many whole groups. Rows are dealt and sorted by the key; a group that
+    may go on in the next Arrow batch waits for it, so a task holds one batch and one group.
+    Whole numbers come as Int64, so that nulls among them cost no digits."""
+    out = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pd.DataFrame] = []
+        done = lambda frames: pa.RecordBatch.from_pandas(f(pd.concat(frames, ignore_index=True)), arrow, preserve_index=False)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pdf = batch.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+            last = pdf[by].iloc[-1]
+            same = pdf[by].isna() if pd.isna(last) else (pdf[by] == last).fillna(False)
+            first = len(pdf) - int(same.sum())  # where the last group begins
+            if first:
+                yield done([*held, pdf[:first]])
+                held = []
+            held.append(pdf[first:])
+        if held:
+            yield done(held)
+
+    return df.repartition(by).sortWithinPartitions(by).mapInArrow(run, out)
+
+
 def sums_above(df: DataFrame, at: str, values: list[str]) -> DataFrame:
     """``df`` (one row for each ``at``) with ``<value>_above``: each sum over the rows with a larger ``at``. Rows are dealt
     by ranges of ``at``; the sums of whole ranges, one row each, are added to running sums

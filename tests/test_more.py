@@ -158,3 +158,50 @@ def test_late_events_are_left_out(spark, tmp_path):
     out = events.drain(events.windowed_counts(events.source(spark, path), late="7 days")).collect()
     # windows close when 2024-03-20 has come; 2024-01-02 came too late, 2024-03-20 itself stays open
     assert sorted((str(r["start"])[:10], r["n"]) for r in out) == [("2024-01-01", 1), ("2024-01-05", 1), ("2024-03-01", 1), ("2024-03-02", 1)]
+
+
+def test_places_and_running_sums(spark):
+    """Groups, one of them null, go over many ranges; nulls come last, as in the SQL."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [(g, None if i == 7 else (i * 37) % 500, i) for g in ("a", "b", None) for i in range(500)]
+        df = spark.createDataFrame(rows, "g string, k int, v long")
+        want = {}
+        for g in ("a", "b", None):
+            own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, r[1] or 0))
+            for n, r in enumerate(own):
+                want[g, r[2]] = (n, sum(x[2] for x in own[:n]))
+        assert {(r["g"], r["v"]): r["before"] for r in windows.places(df, ["g"], ["k"], ["g", "v"]).collect()} == {k: n for k, (n, _) in want.items()}
+        assert {(r["g"], r["v"]): r["before"] for r in windows.running_sums(df, ["g"], ["k"], "v").collect()} == {k: s for k, (_, s) in want.items()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_whole_groups_at_once(spark):
+    """Groups go over the ends of batches; there are fewer calls than groups."""
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(None if i % 50 == 0 else i * i % 40, 2**60 + i, float(i * 13 % 101)) for i in range(400)] + [(99, i, 1.0) for i in range(60)]
+        calls = spark.sparkContext.accumulator(0)
+
+        def f(pdf):
+            calls.add(1)
+            g = pdf.groupby("k", dropna=False)["x"]
+            return pdf[["k", "i"]].assign(n=g.transform("size"), low=g.transform("min"))
+
+        got = windows.apply_to_groups(spark.createDataFrame(rows, "k long, i long, x double"), "k", f, "k long, i long, n long, low double").collect()
+        own = {k: [x for a, _, x in rows if a == k] for k, _, _ in rows}
+        assert sorted(map(tuple, got), key=str) == sorted(((k, i, len(own[k]), min(own[k])) for k, i, _ in rows), key=str)
+        windows.apply_to_groups(spark.range(5000).selectExpr("id as k", "id as i", "1.0D as x").repartition(1), "k", f, "k long, i long, n long, low double").collect()
+        assert calls.value < 2000
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_ties_of_extremes_go_by_key(spark, tmp_path):
+    rows = [(k, f"c{k}", k % 2, b, "x") for k, b in zip((9, 4, 6, 2, 8, 3, 5, 1), (5.0, 5.0, 5.0, None, 1.0, 7.0, 1.0, 7.0))]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").repartition(4).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(0, "even", 0), (1, "odd", 0)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(str(tmp_path / "nation.parquet"))
+    got = {r["n_name"]: (r["best"], r["worst"]) for r in catalog.QUERIES["idx_extremes"](spark, str(tmp_path)).collect()}
+    assert got == {"even": (4, 8), "odd": (1, 5)}
