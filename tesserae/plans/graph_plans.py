@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from tesserae.operators import graph as G
 from tesserae.plans.registry import plan
+from tesserae.runtime import cut
 
+#: Pairs of a projection that one task makes or counts, about.
+PAIRS = 4_000_000
 #: Node ids of the four tables, kept apart by an offset.
 NODES = """nodes AS (SELECT r_regionkey::BIGINT AS node, 'region' AS kind, 10::BIGINT AS size FROM region
   UNION ALL SELECT 100 + n_nationkey, 'nation', 20 FROM nation UNION ALL SELECT 1000 + c_custkey, 'customer', 30 FROM customer
@@ -153,8 +156,14 @@ def strong_component_count(t):
     SELECT a.l_suppkey AS left_key, c.l_suppkey AS right_key, count(*) AS shared FROM b a JOIN b c USING (l_partkey) WHERE a.l_suppkey < c.l_suppkey GROUP BY ALL""")
 def bipartite_projection(t):
     """Suppliers that share parts. Each supplier of a part meets the later ones of its sorted
-    list, so a part of n suppliers costs n(n - 1) / 2, which is its share of the result."""
-    lists = t.lineitem.groupBy("l_partkey").agg(F.sort_array(F.collect_set("l_suppkey")).alias("s"))
-    left = lists.select("s", F.posexplode("s").alias("i", "left_key"))
-    pairs = left.select("left_key", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("right_key"))
+    list, so a part of n suppliers costs n(n - 1) / 2, which is its share of the result. The
+    lists, not the pairs, move to the first supplier's task; there are as many tasks as the
+    counted pairs ask for, so neither side holds more than about ``PAIRS`` of them."""
+    lists = t.lineitem.filter("l_partkey is not null").groupBy("l_partkey").agg(F.sort_array(F.collect_set("l_suppkey")).alias("s")).filter("size(s) > 1")
+    lists = cut(lists, "projection")
+    n = lists.agg(F.sum(F.expr("size(s) * (size(s) - 1L) div 2"))).first()[0] or 0
+    tasks = max(lists.sparkSession.sparkContext.defaultParallelism, n // PAIRS + 1)
+    left = lists.repartition(tasks, "l_partkey").select("s", F.posexplode("s").alias("i", "left_key"))
+    later = left.select("left_key", F.slice("s", F.col("i") + 2, F.size("s")).alias("later")).filter("size(later) > 0").repartition(tasks, "left_key")
+    pairs = later.select("left_key", F.explode("later").alias("right_key"))
     return pairs.groupBy("left_key", "right_key").agg(F.count("*").alias("shared"))
